@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siftwork.llm import decontaminate, exact_dedup, url_filter
+from siftwork.llm import bpe, chosen_path, decontaminate, exact_dedup, pii, url_filter
+
+#: The rank file and pattern of the registered encoding.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> tuple[str, str]:
+    """(path of the rank file, pattern that splits texts) of the public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +48,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filters": op10_url_filters,
