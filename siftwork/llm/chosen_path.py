@@ -21,7 +21,7 @@ from siftwork.llm.components import components
 from siftwork.llm.shared import small_side, spill
 from siftwork.llm.textvec import mix, shingle_sets
 
-COORDINATES, LEAF, DEEPEST = 64, 32, 12
+COORDINATES, LEAF, DEEPEST = 64, 64, 12
 #: Of sets, and of their shingles, that one block holds at most (a longer set has a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 _EDGES = (np.arange(COORDINATES + 1, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
@@ -30,7 +30,7 @@ _PROBES = np.random.default_rng(7).integers(0, COORDINATES, (400, COORDINATES))
 
 def runs_for(recall: float, threshold: float) -> int:
     """Runs after which a pair at the threshold has met in a bucket of depth 4 or less with the chance `recall`."""
-    miss = 0.5 * (1 - threshold) + 0.5 * (1 - threshold) ** 2  # of one or two coordinates, none is shared
+    miss = 0.75 * (1 - threshold) + 0.25 * (1 - threshold) ** 2  # of one or two coordinates, none is shared
     met = 1.0
     for _ in range(4):
         met *= 1 - miss
@@ -74,11 +74,11 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def _children(nodes: np.ndarray, sigs: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(child, set) of each set at its node: one coordinate that the node samples, and with even odds another."""
+    """(child, set) of each set at its node: one coordinate that the node samples, and with odds of one in four another."""
     rows = np.arange(len(nodes))
     first = (mix(nodes + np.uint64(1)) % np.uint64(COORDINATES)).astype(np.int64)
     second = (mix(nodes + np.uint64(2)) % np.uint64(COORDINATES)).astype(np.int64)
-    two = (mix(nodes + np.uint64(3)) & np.uint64(1)).astype(bool)
+    two = mix(nodes + np.uint64(3)) & np.uint64(3) == 0
     name = lambda c, r: mix(mix(nodes[r] ^ (c.astype(np.uint64) << np.uint64(40))) + sigs[r, c].astype(np.uint64))
     return np.concatenate([name(first, rows), name(second[two], rows[two])]), np.concatenate([sets, sets[two]])
 
@@ -125,10 +125,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         small = rows.join(small_side(sizes.where(F.col("size") <= LEAF).select("node")), "node")
         small = small.groupBy("node").agg(F.sort_array(F.collect_set("d")).alias("members")).select("members")
         lists = small if lists is None else lists.union(small)
-        large = small_side(sizes.where(F.col("size") > LEAF).select("node", "least"))
+        large = sizes.where(F.col("size") > LEAF).select("node", "least")
         if large.isEmpty():
             break
-        held = rows.join(large, "node")
+        held = rows.join(small_side(large), "node")
         if depth == DEEPEST:
             ties = held.where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
         else:
@@ -242,7 +242,7 @@ def similarity_classes(
     found = components(candidate_edges(reps, threshold, recall))
     members = spill(found.join(reps.drop("sig"), found["node"] == reps["d"]).select("root", "d", "id", "text_hash", "copies", "n"), "members")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(small_side(blocks), "root").select("root", "blocks", "d", "id", "text_hash", "copies")
+    members = spill(members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies"), "members")
     linked = spill(_exact_links(members, docs, id_col, text_col, words, threshold), "links")
     classes = components(linked.select(F.col("d").alias("a"), F.col("label").alias("b")))
     named = classes.join(reps.select("d", "id"), F.col("node") == F.col("d")).select("d", "id", "root")

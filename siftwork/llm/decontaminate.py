@@ -106,3 +106,10 @@ def contamination(
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id isn't that of a contaminated row. Rows with a null id stay."""
+    bad = contamination(docs, items, id_col, text_col, **options).where(F.col("contaminated") & F.col(id_col).isNotNull())
+    bad = spill(bad.select(F.col(id_col).alias("__bad")).distinct(), "contaminated")
+    return docs.join(small_side(bad), F.col(id_col) == F.col("__bad"), "left_anti")

@@ -73,4 +73,16 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host <> '' AND canon
 FROM ruled
 """.replace("\\\\", "\\")
 
-ORACLES = {"op5_benchmark_decontamination": OP5, "op7_exact_dedup": OP7, "op10_url_filters": OP10}
+OP9 = """
+WITH f AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep
+  FROM pages
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND keep <> page_id THEN keep END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op9_warc": OP9, "op5_benchmark_decontamination": OP5, "op7_exact_dedup": OP7, "op10_url_filters": OP10}
