@@ -54,6 +54,38 @@ def featurised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return rows, hashes, np.concatenate(owners), np.concatenate(buckets)
 
 
+def _slices(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """(first, texts) of about `most` bytes at a time, so that the arrays of features stay small."""
+    at = 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= most:
+            size += len(texts[to])
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
+def _vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, number of each word, buckets of the distinct words' features, how many each of those has)."""
+    rows, held, names, features, sizes = [], [], np.zeros(0, np.uint64), [], []
+    for at, part in _slices(texts):
+        own_rows, hashes, owner, bucket = featurised(part)
+        rows.append((own_rows + at).astype(np.int32))
+        held.append(hashes)
+        found, first = np.unique(hashes, return_index=True)
+        first = first[~np.isin(found, names)]
+        names = np.concatenate([names, hashes[first]])
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        lo, size = np.searchsorted(owner, first), np.searchsorted(owner, first, "right") - np.searchsorted(owner, first)
+        features.append(bucket[order][np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int32))
+        sizes.append(size)
+    order = np.argsort(names)
+    numbers = [order[np.searchsorted(names, h, sorter=order)].astype(np.int32) for h in held]
+    return np.concatenate(rows), np.concatenate(numbers), np.concatenate(features), np.concatenate(sizes)
+
+
 def _run_means(scores: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, first word, row) of each run of RUN words in a row; a shorter row is one run."""
     counts = np.bincount(rows, minlength=n_rows)
@@ -74,13 +106,14 @@ class Model:
 
     def worst(self, texts: list[bytes]) -> np.ndarray:
         """The highest logit among each text's runs; minus infinity for a text without words."""
-        rows, hashes, owner, bucket = featurised(texts)
         out = np.full(len(texts), -np.inf)
-        if len(hashes):
-            scores = np.bincount(owner, self.weight[bucket], len(hashes)) / np.bincount(owner, minlength=len(hashes))
-            means, _, own = _run_means(scores, rows, len(texts))
-            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            out[own[heads]] = np.maximum.reduceat(means, heads) + self.bias
+        for at, part in _slices(texts):
+            rows, hashes, owner, bucket = featurised(part)
+            if len(hashes):
+                scores = np.bincount(owner, self.weight[bucket], len(hashes)) / np.bincount(owner, minlength=len(hashes))
+                means, _, own = _run_means(scores, rows, len(part))
+                heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                out[at + own[heads]] = np.maximum.reduceat(means, heads) + self.bias
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -104,13 +137,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 4, steps: int = 40,
     if len(toxic) < 20 or toxic.min() == toxic.max():
         share = (toxic.sum() + 1) / (len(toxic) + 20)
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))))
-    rows, hashes, owner, bucket = featurised(texts)
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    lo, hi = np.searchsorted(owner, first), np.searchsorted(owner, first, "right")
-    sizes = hi - lo
-    features = bucket[np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
+    rows, inverse, features, sizes = _vocabulary(texts)
     pointer = np.concatenate([[0], np.cumsum(sizes)])
     own = np.arange(len(toxic)) % 5 != 0
     rng = np.random.default_rng(5)
@@ -118,7 +145,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 4, steps: int = 40,
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
-    score, tick = _warm_scores(inverse, rows, np.where(own, toxic, 2), len(first)), 0
+    score, tick = _warm_scores(inverse, rows, np.where(own, toxic, 2), len(sizes)), 0
     for _ in range(rounds):
         means, start, at = _run_means(score[inverse], rows, len(toxic))
         best = np.lexsort((-means, at))
