@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
-from siftwork.llm.shared import small_side, spill
+from siftwork.llm.shared import BROADCAST_ROWS, small_side, spill
 from siftwork.llm.textvec import mix, shingle_sets
 
-COORDINATES, LEAF, DEEPEST = 64, 64, 12
+COORDINATES, LEAF, DEEPEST = 64, 64, 13
+#: Levels that a large bucket descends before its parts are counted again.
+STRIDE = 3
 #: Of sets, and of their shingles, that one block holds at most (a longer set has a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 _EDGES = (np.arange(COORDINATES + 1, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
@@ -78,13 +80,16 @@ def _children(nodes: np.ndarray, sigs: np.ndarray, sets: np.ndarray) -> tuple[np
     rows = np.arange(len(nodes))
     first = (mix(nodes + np.uint64(1)) % np.uint64(COORDINATES)).astype(np.int64)
     second = (mix(nodes + np.uint64(2)) % np.uint64(COORDINATES)).astype(np.int64)
-    two = mix(nodes + np.uint64(3)) & np.uint64(3) == 0
+    two = (mix(nodes + np.uint64(3)) & np.uint64(3) == 0) & (first != second)
     name = lambda c, r: mix(mix(nodes[r] ^ (c.astype(np.uint64) << np.uint64(40))) + sigs[r, c].astype(np.uint64))
     return np.concatenate([name(first, rows), name(second[two], rows[two])]), np.concatenate([sets, sets[two]])
 
 
 def _split(rows: DataFrame, runs: int | None) -> DataFrame:
-    """(d, sig) at the roots of `runs` trees, or (d, sig, node) at nodes -> (d, node) at their children."""
+    """(d, sig) at the roots of `runs` trees -> (d, node, parent, level) of their children; of (d, sig, node), all of STRIDE levels.
+
+    A set's path depends on its own signature alone, so that levels need no shuffle between them. level counts from 1 for the children.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +99,19 @@ def _split(rows: DataFrame, runs: int | None) -> DataFrame:
             sigs = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint32).reshape(-1, COORDINATES)
             tops = [np.full(len(sets), mix(np.array([r + 1], np.uint64))[0]) for r in range(runs)] if runs else [np.array(batch.column(2), np.int64).view(np.uint64)]
             for nodes in tops:
-                child, own = _children(nodes, sigs, sets)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(child.view(np.int64))], ["d", "node"])
+                at = np.arange(len(sets))
+                for level in range(1, 2 if runs else STRIDE + 1):
+                    child, back = _children(nodes, sigs[at], np.arange(len(at)))
+                    parent, at, nodes = nodes[back], at[back], child
+                    columns = [pa.array(sets[at]), pa.array(nodes.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(np.full(len(at), level, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["d", "node", "parent", "level"])
+
+    return rows.mapInArrow(run, "d long, node long, parent long, level int")
 
-    return rows.mapInArrow(run, "d long, node long")
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most `rows` rows as counted before, marked for broadcast if that is few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -119,20 +133,26 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
     and the exact comparison decides.
     """
     sigs = reps.select("d", "sig")
-    rows, lists, ties = spill(_split(sigs, runs_for(recall, threshold)), "paths"), None, None
-    for depth in range(1, DEEPEST + 1):
-        sizes = spill(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("least")).where("size > 1"), "buckets")
-        small = rows.join(small_side(sizes.where(F.col("size") <= LEAF).select("node")), "node")
+    rows, lists, ties, depth, last = spill(_split(sigs, runs_for(recall, threshold)), "paths"), None, None, 1, 1
+    while True:
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("least"), F.first("parent").alias("parent"), F.first("level").alias("level"))
+        sizes = spill(sizes.where("size > 1"), "buckets")
+        large = sizes.where(F.col("size") > LEAF).select("node", "least", "level")
+        few, many = sizes.agg(F.count_if(F.col("size") <= LEAF), F.count_if(F.col("size") > LEAF)).first()
+        leaves = sizes.where(F.col("size") <= LEAF).select("node", "parent", "level")
+        if last > 1:  # a part of a small bucket says no more than that bucket
+            inner = _sized(large.select(F.col("node").alias("parent")), many)
+            leaves = leaves.where("level = 1").select("node").union(leaves.where("level > 1").join(inner, "parent", "left_semi").select("node"))
+        small = rows.join(_sized(leaves.select("node"), few), "node")
         small = small.groupBy("node").agg(F.sort_array(F.collect_set("d")).alias("members")).select("members")
         lists = small if lists is None else lists.union(small)
-        large = sizes.where(F.col("size") > LEAF).select("node", "least")
-        if large.isEmpty():
+        if not many:
             break
-        held = rows.join(small_side(large), "node")
-        if depth == DEEPEST:
+        held = rows.where(F.col("level") == last).join(_sized(large.where(F.col("level") == last).select("node", "least"), many), "node")
+        if depth >= DEEPEST:
             ties = held.where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
-        else:
-            rows = spill(_split(held.join(sigs, "d").select("d", "sig", "node"), None), "paths")
+            break
+        rows, depth, last = spill(_split(held.join(sigs, "d").select("d", "sig", "node"), None), "paths"), depth + STRIDE, STRIDE
     lists = lists.where("size(members) > 1").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("d"))
     full = lists.join(reps.select("d", "n", "sig"), "d").groupBy("bucket").agg(F.collect_list(F.struct("d", "n", "sig")).alias("own")).select("own")
 
