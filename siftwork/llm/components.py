@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.shared import spill
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components: those of each Arrow batch as stars, from each node to the least it leads to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, at = np.unique(np.concatenate([np.array(c, np.int64) for c in batch.columns]), return_inverse=True)
+            a, b = at[: batch.num_rows], at[batch.num_rows :]
+            label = np.arange(len(names))
+            while (label[a] != label[b]).any():
+                low = np.minimum(label[a], label[b])
+                np.minimum.at(label, label[a], low)
+                np.minimum.at(label, label[b], low)
+                label = label[label]
+            moved = np.flatnonzero(label != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -27,8 +50,7 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     a node, whose hot keys adaptive execution may split, and is written to the shared folder. Rounds go on until
     nothing changes; their number grows with the logarithm of the longest chain.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = spill(edges, "edges")
+    edges = spill(_contracted(edges.select("a", "b").where("a <> b")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
         edges = spill(_small_star(_large_star(edges)), "edges")
