@@ -1,9 +1,10 @@
 """Main text of HTML pages by site style trees.
 
 The element trees of a host's pages are merged: a tree node is a path of tags with their classes, and for each the
-pages that have it, the styles of its children (their tag sequences) and its own texts are counted. A node whose
-styles and texts are spread evenly over the pages has a high entropy and matters; one that looks and reads alike on all
-pages is presentation. A page then loses its branches of low importance. Tags and classes that by their meaning
+pages that have it, the styles of its children (their tag sequences) and its own texts are counted. The entropy of a
+node is the mean information of its values, and each block is judged by the information of its own: one whose style
+and text are those of most pages is presentation, and the page loses it, whatever its siblings at the path hold; one
+whose style or text is rare stays. Tags and classes that by their meaning
 are presentation (menus, footers, adverts, forms ...) start with no importance, and an article's own with full.
 """
 
@@ -22,10 +23,8 @@ from pyspark.sql import functions as F
 from siftwork.llm.shared import small_side, spill
 from siftwork.llm.url_filter import host_of
 
-#: Pages of a host from which on its entropies are believed, and the importance below which a branch goes.
+#: Pages with a path from which on its values are judged, and the importance below which a block goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
-#: Slices that a host's counts are first made in, so that no task sees all pages of a large host.
-SALTS = 16
 
 #: Tags and words of class names and ids by meaning. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,10 +46,11 @@ _BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset foot
 
 
 class Node:
-    __slots__ = ("tag", "path", "prior", "parts", "parent")
+    __slots__ = ("tag", "path", "prior", "parts", "parent", "block")
 
     def __init__(self, tag: str, path: str, prior: int, parent: Node | None) -> None:
         self.tag, self.path, self.prior, self.parent, self.parts = tag, path, prior, parent, []
+        self.block = parent.block if tag in INLINE else self  # the node whose text it is
 
 
 def _prior(tag: str, names: str, parent: int) -> int:
@@ -122,50 +122,65 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [p for p in reversed(own.parts) if isinstance(p, Node)]
 
 
-def _styles(page: str) -> list[tuple[str, str, str]]:
-    """(path, style, text) of each block of a page whose importance the entropies decide; repeated siblings count once."""
-    out = {}
-    for node in _walk(parse(page)):
-        if node.prior == 0 and node.tag and node.tag not in INLINE and node.tag not in VOID and node.tag not in ("html", "body"):
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _blocks(root: Node) -> list[tuple[Node, int, int, int]]:
+    """(node, path, style, text) of each block whose importance the entropies decide: the keys of its path and of its values there.
+
+    The text is that of the block and its inline parts. Every block counts, repeated siblings too; those without text have nothing to lose.
+    """
+    held: dict[Node, list[str]] = {}
+    for node in _walk(root):
+        own = node.block
+        if node.prior == own.prior == 0 and own.tag not in ("", "html", "body"):
+            held.setdefault(own, []).extend(p for p in node.parts if isinstance(p, str))
+    out = []
+    for node, parts in held.items():
+        text = " ".join(" ".join(parts).split())
+        if text:
             tags = [p.tag for p in node.parts if isinstance(p, Node)]
             style = ",".join(t for i, t in enumerate(tags) if i == 0 or t != tags[i - 1])
-            text = " ".join(" ".join(p for p in node.parts if isinstance(p, str)).split())
-            out.setdefault(node.path, (style, text))
-    return [(path, style, text) for path, (style, text) in out.items()]
+            out.append((node, _key(node.path), _key(node.path, "s", style), _key(node.path, "t", text)))
+    return out
 
 
-def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of the merged trees' nodes, for nodes on LEAST_PAGES pages or more of a host.
+def low_values(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, v): the keys of styles and texts of low importance at their path, for paths on LEAST_PAGES pages or more of a host.
 
-    Importance is the larger of the entropies of the node's styles and of its texts, each to the base of the pages that
-    have it, so 0 where all are alike and 1 where all differ. Counts of (node, value) are made in salted slices first;
-    what then meets in a task is a number for each distinct value.
+    A value's importance is its information to the base of the pages that have the path: 0 if all of them have the
+    value too, 1 if a single one does. A page counts once for each path and value. Counts are summed before a shuffle,
+    and values too rare for any path are gone before they meet the paths' pages, so that no task sees all of a host.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                made = [(h.as_py(), *s) for h, p in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200], strict=True) for s in _styles(p.as_py())]
-                columns = list(zip(*made, strict=True)) if made else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "path", "style", "text"])
+                made = []
+                for h, p in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200], strict=True):
+                    host, found = h.as_py(), _blocks(parse(p.as_py()))
+                    made += [(host, *x) for x in {(path, v) for _, path, style, text in found for v in (path, style, text)}]
+                columns = list(zip(*made, strict=True)) if made else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "v"])
 
-    found = rows.mapInArrow(run, "host string, path string, style string, text string")
-    values = found.select("host", "path", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.xxhash64("style").alias("v")), F.struct(F.lit("t").alias("kind"), F.xxhash64("text").alias("v")))).alias("x"))
-    counts = values.groupBy("host", "path", "x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    slices = counts.groupBy("host", "path", "kind", F.pmod("v", F.lit(SALTS)).alias("salt")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
-    sums = slices.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn"))
-    spread = F.when(F.col("n") > 1, (F.log2("n") - F.col("nlogn") / F.col("n")) / F.log2("n")).otherwise(F.lit(1.0))
-    return sums.where(F.col("n") >= LEAST_PAGES).groupBy("host", "path").agg(F.max("n").alias("pages"), F.max(spread).alias("importance"))
+    found = rows.mapInArrow(run, "host string, path long, v long")  # v = path: the page has the path
+    counts = found.groupBy("host", "path", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = spill(counts.where(F.col("n") >= LEAST_PAGES ** (1 - LEAST_IMPORTANCE)), "values")
+    paths = counts.where((F.col("v") == F.col("path")) & (F.col("n") >= LEAST_PAGES)).select("host", "path", F.col("n").alias("pages"))
+    values = counts.where("v <> path").join(paths, ["host", "path"])
+    return values.where(F.log2(F.col("pages") / F.col("n")) < LEAST_IMPORTANCE * F.log2("pages")).select("host", "v")
 
 
-def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """The text of a page without presentation and without what stands in nodes at the paths `low`; inline tags join, others part.
+def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
+    """The text of a page without presentation and without blocks whose style and text are both in `low`; inline tags join, others part.
 
-    A low node's inner blocks are judged by themselves, so that a branch goes only if all of its nodes are low.
+    A block's inner blocks are judged by themselves, so that a branch goes only if all of its blocks do.
     """
     out: list[str] = []
     root = parse(page)
+    gone = {node for node, _, style, text in _blocks(root) if style in low and text in low} if low else ()
     stack: list[Node | str | None] = [root]
     while stack:
         own = stack.pop()
@@ -177,7 +192,7 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
             if own.tag not in INLINE:
                 out.append(" ")
                 stack.append(None)
-            stack += [p for p in reversed(own.parts) if own.path not in low or isinstance(p, Node)]
+            stack += [p for p in reversed(own.parts) if own.block not in gone or isinstance(p, Node)]
     return " ".join("".join(out).split())
 
 
@@ -185,10 +200,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row for each row of `pages`: the id, the url, text, n_chars (code points).
 
     Null html is empty; a page without main text has an empty text. Pages with a null url share the empty host. The
-    paths of low importance travel to the pages as one small list for each host, and are looked up there.
+    keys of low importance travel to the pages as one small list for each host, and are looked up there.
     """
-    low = importance(pages, url_col, html_col).where(F.col("importance") < LEAST_IMPORTANCE)
-    low = spill(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
+    low = low_values(pages, url_col, html_col)
+    low = spill(low.groupBy("host").agg(F.collect_set("v").alias("low")), "low-values")
     types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     rows = pages.select(id_col, url_col, html_col, host_of(F.col(url_col)).alias("__host"))
     rows = rows.join(small_side(low.withColumnRenamed("host", "__host"), 20_000), "__host", "left").select(id_col, url_col, html_col, "low")

@@ -134,6 +134,16 @@ def test_main_text_and_low_branches(spark):
     assert out == {i: f"Body {i}" for i in range(8)} | {9: ""}
 
 
+def extracted(spark, pages):
+    rows = [(i, "http://a.org/", p) for i, p in enumerate(pages)]
+    return [r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_blocks_of_one_path_are_judged_one_by_one(spark):
+    page = "<body><div class=content><p>By Staff<p>Body {0}<p><b>Only {0}</b></div><div>Home</div><div>Words {0}</div></body>"
+    assert extracted(spark, [page.format(i) for i in range(8)]) == [f"Body {i} Only {i} Words {i}" for i in range(8)]
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "y" * 200
     rows = [(5, "http://a/", big), (3, "http://b/", big), (3, "http://b/", big), (1, None, None), (2, "u\r\nx", "short"), (4, "v", "short"), (None, "w", "é")]
