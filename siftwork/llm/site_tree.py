@@ -5,7 +5,8 @@ pages that have it, the styles of its children (their tag sequences) and its own
 node is the mean information of its values, and each block is judged by the information of its own: one whose style
 and text are those of most pages is presentation, and the page loses it, whatever its siblings at the path hold; one
 whose style or text is rare stays. Tags and classes that by their meaning
-are presentation (menus, footers, adverts, forms ...) start with no importance, and an article's own with full.
+are presentation (menus, footers, adverts, forms ...) start with no importance, and an article's own with full. Names
+and forms only hint: an article stays whatever it is called, and so does what wraps all articles or most of the text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
 #: Tags and words of class names and ids by meaning. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object canvas audio video".split())
-DROPPED = frozenset("head title nav footer aside form button select option textarea input label dialog menu".split()) | RAW
+DROPPED = frozenset("head title nav footer aside button select option textarea input label dialog menu".split()) | RAW
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promos promotion menu menus nav navbar navigation "
@@ -38,33 +39,62 @@ BOILER = frozenset(
     "comment comments reply replies respond disqus widget widgets form search copyright legal disclaimer skip".split()
 )
 MAIN = frozenset("article main".split())
+#: How a node starts, before its page's other nodes are known.
+HARD, SOFT, ARTICLE, PLAIN = range(4)
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]++|<)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "prior", "parts", "parent", "block")
+    __slots__ = ("tag", "path", "names", "prior", "parts", "parent", "block", "kind", "scope", "soft", "size", "main")
 
-    def __init__(self, tag: str, path: str, prior: int, parent: Node | None) -> None:
-        self.tag, self.path, self.prior, self.parent, self.parts = tag, path, prior, parent, []
+    def __init__(self, tag: str, path: str, names: str, parent: Node | None) -> None:
+        self.tag, self.path, self.names, self.prior, self.parent, self.parts = tag, path, names, 0, parent, []
         self.block = parent.block if tag in INLINE else self  # the node whose text it is
 
 
-def _prior(tag: str, names: str, parent: int) -> int:
-    """-1: presentation by meaning, 1: inside an article, 0: the entropies decide."""
-    if parent == -1 or tag in DROPPED or tag == "header" and parent != 1:
-        return -1
-    if names and tag not in ("html", "body") and not BOILER.isdisjoint(_WORD.findall(names.lower())):
-        return -1
-    return 1 if tag in MAIN else parent
+def _judge(root: Node) -> None:
+    """Sets prior: -1: presentation by meaning, 1: inside an article, 0: the entropies decide.
+
+    HARD tags go with all that is in them. A SOFT branch, by a whole class name, id or role of BOILER or as a form, goes
+    unless it holds all of the page's article text, or, inside an article or on a page without, most of the text there.
+    Articles inside it stay, except comments and cards: two of being named so, in another article, in a SOFT branch.
+    """
+    nodes = list(_walk(root))
+    root.kind, root.scope, root.soft, root.size, root.main = PLAIN, root, False, 0, 0
+    for node in nodes[1:]:
+        up, tag = node.parent, node.tag
+        scope = node.scope = up if up.kind == ARTICLE else up.scope
+        soft = up.soft
+        named = node.names != "" and tag not in ("html", "body") and not BOILER.isdisjoint(node.names.lower().split())
+        if up.kind == HARD or tag in DROPPED or tag == "header" and scope is root:
+            node.kind = HARD
+        elif tag == "main" or tag == "article" and named + soft + (scope.tag == "article") < 2:
+            node.kind, soft = ARTICLE, False
+        else:
+            node.kind = SOFT if named or tag == "form" else PLAIN
+        node.soft, node.size, node.main = soft or node.kind == SOFT, 0, 0
+    for node in reversed(nodes):
+        if node.kind != HARD:
+            node.size += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+            if node.kind == ARTICLE:
+                node.main = node.size
+            if node is not root:
+                node.parent.size += node.size
+                node.parent.main += node.main
+    for node in nodes[1:]:
+        scope = node.scope
+        if node.kind == SOFT and not (node.main == root.main if scope is root and root.main else node.size * 2 > scope.size) or node.kind == HARD:
+            node.prior = -1
+        else:
+            node.prior = 1 if node.kind == ARTICLE else node.parent.prior
 
 
 def parse(page: str) -> Node:
     """The element tree: forgiving, in one pass, each part a child Node or a str with its references decoded."""
-    root = Node("", "", 0, None)
+    root = Node("", "", "", None)
     at, raw, pos = root, "", 0
     opened: dict[str, int] = {}
     while pos < len(page):
@@ -103,7 +133,7 @@ def parse(page: str) -> Node:
             path = at.path if tag in INLINE else at.path + "/" + tag + ("." + names if names else "")
             if len(path) > 400:  # deep trees keep short names
                 path = "#" + hashlib.sha256(path.encode()).hexdigest()[:16]
-            node = Node(tag, path, _prior(tag, names, at.prior), at)
+            node = Node(tag, path, names, at)
             at.parts.append(node)
             if tag not in VOID and not rest.endswith("/"):
                 if tag in RAW:
@@ -111,6 +141,7 @@ def parse(page: str) -> Node:
                 else:
                     at = node
                     opened[tag] = opened.get(tag, 0) + 1
+    _judge(root)
     return root
 
 
@@ -188,11 +219,11 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
             out.append(" ")
         elif isinstance(own, str):
             out.append(own)
-        elif own.prior != -1:
+        elif own.kind != HARD:
             if own.tag not in INLINE:
                 out.append(" ")
                 stack.append(None)
-            stack += [p for p in reversed(own.parts) if own.block not in gone or isinstance(p, Node)]
+            stack += [p for p in reversed(own.parts) if isinstance(p, Node) or own.prior != -1 and own.block not in gone]
     return " ".join("".join(out).split())
 
 

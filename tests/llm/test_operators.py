@@ -144,6 +144,17 @@ def test_blocks_of_one_path_are_judged_one_by_one(spark):
     assert extracted(spark, [page.format(i) for i in range(8)]) == [f"Body {i} Only {i} Words {i}" for i in range(8)]
 
 
+def test_names_and_forms_do_not_take_articles():
+    text = site_tree.main_text
+    for page in (
+        "<main class='site-main has-sidebar'><p>own words</main>", "<div id='page' class='right-sidebar'><p>own words</div>", "<div class='long-form'>own words</div>",
+        "<article class='post tag-search category-legal'>own words</article>", "<article class=legal>own words</article>", "<div class=sidebar><article>own words</article></div>",
+        "<form><nav>menu</nav><p>own words<div class=ad>buy</div></form>", "<form><div>own</div><main>words</main></form>", "<article>own <div class=legal>words</div></article>",
+        "<div class=ad>a much longer advert</div><article>own words</article>", "<article>own words<section class=comments><article class=comment>bad</article></section></article>", "<p data-role=ad>own words",
+    ):
+        assert text(f"<html><body class=search>{page}<footer>f</footer>") == "own words", page
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "y" * 200
     rows = [(5, "http://a/", big), (3, "http://b/", big), (3, "http://b/", big), (1, None, None), (2, "u\r\nx", "short"), (4, "v", "short"), (None, "w", "é")]
