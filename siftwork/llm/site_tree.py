@@ -5,8 +5,9 @@ pages that have it, the styles of its children (their tag sequences) and its own
 node is the mean information of its values, and each block is judged by the information of its own: one whose style
 and text are those of most pages is presentation, and the page loses it, whatever its siblings at the path hold; one
 whose style or text is rare stays. Tags and classes that by their meaning
-are presentation (menus, footers, adverts, forms ...) start with no importance, and an article's own with full. Names
-and forms only hint: an article stays whatever it is called, and so does what wraps all articles or most of the text.
+are presentation (menus, footers, adverts, forms ...) start with no importance. Names and forms only hint: an article
+stays whatever it is called, and so does what wraps all articles or most of the text. Pages with the same texts count
+once, and inside an article a block counts once for each longest other text beside it, so that copies of a text are no proof.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ class Node:
 
 
 def _judge(root: Node) -> None:
-    """Sets prior: -1: presentation by meaning, 1: inside an article, 0: the entropies decide.
+    """Sets prior: -1: presentation by meaning, 1: inside an article, 0: outside. The entropies decide on both of these.
 
     HARD tags go with all that is in them. A SOFT branch, by a whole class name, id or role of BOILER or as a form, goes
     unless it holds all of the page's article text, or, inside an article or on a page without, most of the text there.
@@ -157,15 +158,15 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _blocks(root: Node) -> list[tuple[Node, int, int, int]]:
-    """(node, path, style, text) of each block whose importance the entropies decide: the keys of its path and of its values there.
+def _blocks(root: Node) -> list[tuple[Node, int, int, int, int]]:
+    """(node, path, style, text, length) of each block whose importance the entropies decide: the keys of its path and of its values there.
 
     The text is that of the block and its inline parts. Every block counts, repeated siblings too; those without text have nothing to lose.
     """
     held: dict[Node, list[str]] = {}
     for node in _walk(root):
         own = node.block
-        if node.prior == own.prior == 0 and own.tag not in ("", "html", "body"):
+        if node.prior != -1 and own.prior != -1 and own.tag not in ("", "html", "body"):
             held.setdefault(own, []).extend(p for p in node.parts if isinstance(p, str))
     out = []
     for node, parts in held.items():
@@ -173,7 +174,24 @@ def _blocks(root: Node) -> list[tuple[Node, int, int, int]]:
         if text:
             tags = [p.tag for p in node.parts if isinstance(p, Node)]
             style = ",".join(t for i, t in enumerate(tags) if i == 0 or t != tags[i - 1])
-            out.append((node, _key(node.path), _key(node.path, "s", style), _key(node.path, "t", text)))
+            path = node.path if node.prior == 0 else "in " + node.path
+            out.append((node, _key(path), _key(path, "s", style), _key(path, "t", text), len(text)))
+    return out
+
+
+def _votes(page: str) -> set[tuple[bool, int, int, int]]:
+    """(inside, path, v, seen) of a page's blocks: values are counted by their distinct `seen`.
+
+    It is a key of all texts of the page, so that a page and its copies have one vote. For a text inside an article it
+    is the longest other text, so that even copies with changes elsewhere don't make an article's paragraphs common.
+    """
+    found = _blocks(parse(page))
+    page_key = _key(*map(str, sorted({text for *_, text, _ in found})))
+    longest = [text for _, text in sorted({(-length, text) for *_, text, length in found})[:2]] + [0]
+    out = set()
+    for node, path, style, text, _ in found:
+        inside = node.prior == 1
+        out |= {(inside, path, path, page_key), (inside, path, style, page_key), (inside, path, text, longest[longest[0] == text] if inside else page_key)}
     return out
 
 
@@ -181,8 +199,9 @@ def low_values(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """(host, v): the keys of styles and texts of low importance at their path, for paths on LEAST_PAGES pages or more of a host.
 
     A value's importance is its information to the base of the pages that have the path: 0 if all of them have the
-    value too, 1 if a single one does. A page counts once for each path and value. Counts are summed before a shuffle,
-    and values too rare for any path are gone before they meet the paths' pages, so that no task sees all of a host.
+    value too, 1 if a single one does. Copies of a page count once (see _votes). Inside articles a value must also be
+    on half of the pages at least: a line that many of them quote is theirs. Counts are summed before a shuffle, and values
+    too rare for any path are gone before they meet the paths' pages, so that no task sees all of a host.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
@@ -191,17 +210,18 @@ def low_values(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             for k in range(0, batch.num_rows, 200):
                 made = []
                 for h, p in zip(batch.column(0)[k : k + 200], batch.column(1)[k : k + 200], strict=True):
-                    host, found = h.as_py(), _blocks(parse(p.as_py()))
-                    made += [(host, *x) for x in {(path, v) for _, path, style, text in found for v in (path, style, text)}]
-                columns = list(zip(*made, strict=True)) if made else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "v"])
+                    host = h.as_py()
+                    made += [(host, *x) for x in _votes(p.as_py())]
+                columns = list(zip(*made, strict=True)) if made else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), *[pa.int64()] * 3), strict=True)], ["host", "inside", "path", "v", "seen"])
 
-    found = rows.mapInArrow(run, "host string, path long, v long")  # v = path: the page has the path
-    counts = found.groupBy("host", "path", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.mapInArrow(run, "host string, inside boolean, path long, v long, seen long").distinct()  # v = path: the page has the path
+    counts = found.groupBy("host", "inside", "path", "v").agg(F.count(F.lit(1)).alias("n"))
     counts = spill(counts.where(F.col("n") >= LEAST_PAGES ** (1 - LEAST_IMPORTANCE)), "values")
     paths = counts.where((F.col("v") == F.col("path")) & (F.col("n") >= LEAST_PAGES)).select("host", "path", F.col("n").alias("pages"))
     values = counts.where("v <> path").join(paths, ["host", "path"])
-    return values.where(F.log2(F.col("pages") / F.col("n")) < LEAST_IMPORTANCE * F.log2("pages")).select("host", "v")
+    common = (F.log2(F.col("pages") / F.col("n")) < LEAST_IMPORTANCE * F.log2("pages")) & (~F.col("inside") | (F.col("n") * 2 >= F.col("pages")))
+    return values.where(common).select("host", "v")
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
@@ -211,7 +231,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """
     out: list[str] = []
     root = parse(page)
-    gone = {node for node, _, style, text in _blocks(root) if style in low and text in low} if low else ()
+    gone = {node for node, _, style, text, _ in _blocks(root) if style in low and text in low} if low else ()
     stack: list[Node | str | None] = [root]
     while stack:
         own = stack.pop()

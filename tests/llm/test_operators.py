@@ -155,6 +155,21 @@ def test_names_and_forms_do_not_take_articles():
         assert text(f"<html><body class=search>{page}<footer>f</footer>") == "own words", page
 
 
+def test_copies_of_a_page_are_no_proof(spark):
+    page = "<body><div>Words {0}</div><!-- {1} --><p>More of {0}</p>"
+    pages = [page.format(0, i) for i in range(9)] + [page.format(1, 9), page.format(0, 9).replace("Words", "Other")]
+    assert extracted(spark, pages) == ["Words 0 More of 0"] * 9 + ["Words 1 More of 1", "Other 0 More of 0"]
+    near = [f"<article><p>The longest text of all<p>A shorter text<p>{i}</article>" for i in range(8)]
+    assert extracted(spark, near) == [f"The longest text of all A shorter text {i}" for i in range(8)]
+    quoted = [f"<article><p>Text {i}{'<p>quoted' * (i % 5 < 2)}</article>" for i in range(200)]
+    assert [t.split()[2:] for t in extracted(spark, quoted)] == [["quoted"] * (i % 5 < 2) for i in range(200)]
+
+
+def test_notices_inside_articles_are_judged(spark):
+    page = "<article><p>Some words {0}</p><div class=q7>Join <a>our list</a> and read on for more of this</div><p>End {0}</p></article>"
+    assert extracted(spark, [page.format(i) for i in range(8)]) == [f"Some words {i} End {i}" for i in range(8)]
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "y" * 200
     rows = [(5, "http://a/", big), (3, "http://b/", big), (3, "http://b/", big), (1, None, None), (2, "u\r\nx", "short"), (4, "v", "short"), (None, "w", "é")]
