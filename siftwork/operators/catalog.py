@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors that a block of the neighbour search holds, about.
+BLOCK_VECTORS = 512
+
 
 def distribution(tree: DataFrame, weight: Column, depth: int) -> DataFrame:
     """Leaves and their weight under the ancestor of each at `depth` (or itself, where it is higher up)."""
@@ -141,10 +148,50 @@ def misfits(vectors: DataFrame, key: str, most: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("similarity", "vec_id"))).where(F.col("place") <= most)
 
 
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """The rows with a vector in lists of about BLOCK_VECTORS."""
+    rows = rows.where(F.col(vector).isNotNull())
+    slot = F.pmod(F.xxhash64(key, vector), F.lit(max(1, -(-rows.count() // BLOCK_VECTORS))))
+    return rows.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("vector"))).alias("block")).select("block")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """The vectors nearest to each of a stated, bounded set of queries(query_id, query), exact, best first."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 5).alias("similarity"))
+    """The vectors nearest to each of queries(query_id, query), however many, exact, best first; equal ones go by vec_id.
+
+    Blocks of queries meet blocks of vectors as matrices; the best of each pair of blocks are merged for each query.
+    Null and zero vectors, and those of another length than the query's, are near to nothing.
+    """
+    ids = [f"{n} {df.schema[n].dataType.simpleString()}" for n, df in (("query_id", queries), ("vec_id", vectors))]
+    asked, held = _blocks(queries, "query_id", "query"), _blocks(vectors, "vec_id", "embedding")
+    pairs = asked.select(F.col("block").alias("asked")).crossJoin(held.select(F.col("block").alias("held")))
+
+    def by_length(block: pa.StructArray) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        sizes = np.array(block.field("vector").value_lengths())
+        parts = {int(n): block.take(pa.array(np.flatnonzero(sizes == n))) for n in np.unique(sizes) if n}
+        return {n: (p.field("id"), p.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)) for n, p in parts.items()}
+
+    def best(asked: pa.StructArray, held: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        found = by_length(held)
+        for n, (query_id, q) in by_length(asked).items():
+            if n not in found:
+                continue
+            vec_id, v = found[n]
+            with np.errstate(all="ignore"):
+                near = np.round(q @ v.T / np.sqrt((q * q).sum(1)[:, None] * (v * v).sum(1)[None, :]), 5)
+            near[~np.isfinite(near) | (query_id.to_numpy()[:, None] == vec_id.to_numpy()[None, :])] = -np.inf
+            order = np.argsort(vec_id.to_numpy(), kind="stable")
+            top = order[np.argsort(-near[:, order], axis=1, kind="stable")[:, :most]]
+            row, col = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+            real = near[row, col] > -np.inf
+            row, col = row[real], col[real]
+            yield pa.RecordBatch.from_arrays([query_id.take(pa.array(row)), vec_id.take(pa.array(col)), pa.array(near[row, col])], ["query_id", "vec_id", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, h in zip(batch.column(0), batch.column(1), strict=True):
+                yield from best(a.values, h.values)
+
+    scored = pairs.mapInArrow(run, f"{', '.join(ids)}, similarity double")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("place") <= most)
 
 

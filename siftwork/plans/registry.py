@@ -351,6 +351,14 @@ def _(spark, d):
     return catalog.nearest(table(spark, d, "embeddings"), asked, 5)
 
 
+@query("nearest_vectors_every_20th", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0),
+  s AS (SELECT query_id, vec_id, round({_COS.format("embedding", "query")}, 5) AS similarity FROM embeddings JOIN q ON vec_id <> query_id)
+  SELECT query_id, vec_id, similarity, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS p FROM s) WHERE p <= 5""")
+def _(spark, d):
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return catalog.nearest(table(spark, d, "embeddings"), asked, 5)
+
+
 @query("arrival_ledger", f"""WITH {ITEMS}, l AS (SELECT *, k % 3 AS c, lag(k % 3) OVER w AS was, row_number() OVER w AS nth FROM items WINDOW w AS (PARTITION BY source ORDER BY occurred_at, item_id)),
   m AS (SELECT *, CASE WHEN nth = 1 THEN 'new' WHEN c = was THEN 'unchanged' ELSE 'updated' END AS state FROM l)
   SELECT source, item_id, state, CAST(sum(CASE WHEN state = 'unchanged' THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY occurred_at, item_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision FROM m""")
