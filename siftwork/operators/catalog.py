@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that a block of the neighbour search holds, about.
 BLOCK_VECTORS = 512
+#: Rows that a task of it holds before it merges them.
+HELD_ROWS = 400_000
 
 
 def distribution(tree: DataFrame, weight: Column, depth: int) -> DataFrame:
@@ -186,10 +188,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
             row, col = row[real], col[real]
             yield pa.RecordBatch.from_arrays([query_id.take(pa.array(row)), vec_id.take(pa.array(col)), pa.array(near[row, col])], ["query_id", "vec_id", "similarity"])
 
+    def merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        query_id, vec_id, near = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        order = np.lexsort((vec_id, -near, query_id))
+        place = np.arange(len(order))
+        new = np.append(True, query_id[order][1:] != query_id[order][:-1])
+        place -= np.maximum.accumulate(np.where(new, place, 0))
+        return rows.take(pa.array(order[place < most]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0  # a task keeps the best of what it has seen
         for batch in batches:
             for a, h in zip(batch.column(0), batch.column(1), strict=True):
-                yield from best(a.values, h.values)
+                new = [x for x in best(a.values, h.values) if x.num_rows]
+                parts, rows = parts + new, rows + sum(x.num_rows for x in new)
+                if rows > HELD_ROWS:
+                    parts = [merged(parts)]
+                    rows = parts[0].num_rows
+                    if rows > HELD_ROWS // 2:
+                        yield parts[0]
+                        parts, rows = [], 0
+        if parts:
+            yield merged(parts)
 
     scored = pairs.mapInArrow(run, f"{', '.join(ids)}, similarity double")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("place") <= most)

@@ -16,6 +16,7 @@ def test_every_20th_row_is_asked(spark):
 
 def test_blocks_give_what_brute_force_gives(spark, monkeypatch):
     monkeypatch.setattr(catalog, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(catalog, "HELD_ROWS", 300)
     v = np.random.default_rng(5).integers(-3, 4, (150, 4)).astype(float)
     v[7] = 0
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, 2.0])]
