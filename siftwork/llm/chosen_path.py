@@ -17,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.components import components
+from siftwork.llm.components import components, stars
 from siftwork.llm.shared import BROADCAST_ROWS, small_side, spill
 from siftwork.llm.textvec import mix, shingle_sets
 
 COORDINATES, LEAF, DEEPEST = 64, 64, 13
-#: Levels that a large bucket descends before its parts are counted again.
-STRIDE = 3
+#: Levels between two times that the components of the ties are found, the first one at once.
+SETTLE = 4
+#: Members of a large bucket that all of it is compared with.
+PIVOTS = 8
+#: Large buckets whose pivots' sketches (about 2,200 bytes a bucket) are broadcast at most.
+BROADCAST_PIVOTS = 10_000
 #: Of sets, and of their shingles, that one block holds at most (a longer set has a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+#: Rings of distances to a large component's first set; rows of such sets (or of all rings of a component) that are broadcast at most.
+RINGS, PIVOT_ROWS = 50, 20_000
 _EDGES = (np.arange(COORDINATES + 1, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
 _PROBES = np.random.default_rng(7).integers(0, COORDINATES, (400, COORDINATES))
 
@@ -85,28 +91,66 @@ def _children(nodes: np.ndarray, sigs: np.ndarray, sets: np.ndarray) -> tuple[np
     return np.concatenate([name(first, rows), name(second[two], rows[two])]), np.concatenate([sets, sets[two]])
 
 
-def _split(rows: DataFrame, runs: int | None) -> DataFrame:
-    """(d, sig) at the roots of `runs` trees -> (d, node, parent, level) of their children; of (d, sig, node), all of STRIDE levels.
+def _roots(sigs: DataFrame, runs: int) -> DataFrame:
+    """(d, sig) -> (d, node): the children of the roots of `runs` trees that each set goes to."""
 
-    A set's path depends on its own signature alone, so that levels need no shuffle between them. level counts from 1 for the children.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets, rows = np.array(batch.column(0), np.int64), _matrix(batch.column(1))
+                for r in range(runs):
+                    root = np.full(len(sets), mix(np.array([r + 1], np.uint64))[0])
+                    child, own = _children(root, rows, sets)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(child.view(np.int64))], ["d", "node"])
+
+    return sigs.mapInArrow(run, "d long, node long")
+
+
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in sigs), np.uint32).reshape(-1, COORDINATES)
+
+
+def _bins(n: np.ndarray) -> np.ndarray:
+    """About how many coordinates of a set of n shingles have a shingle of their own."""
+    return COORDINATES * (1 - np.exp(-np.maximum(n, 1) / COORDINATES))
+
+
+def _least_likeness(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the sketches of sets of n and m shingles agree in at least, but for a chance of 1 in 70,000, if they are so similar."""
+    return similarity - 4.2 * np.sqrt(similarity * (1 - similarity) / np.minimum(_bins(n), _bins(m)))
+
+
+def _split(held: DataFrame, threshold: float) -> DataFrame:
+    """Members (d, n, sig, node, pivots) of large buckets -> (a, node, b): a goes to the bucket `node` one level below, or is tied to b.
+
+    A set whose sketch agrees with a pivot's to the threshold is taken out of the bucket and goes no further. It is tied
+    to the pivot, and so is each set that may be at the threshold with one that is taken out. The ties of a batch are
+    given as stars, from each set to one that it leads to.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = np.array(batch.column(0), np.int64)
-            sigs = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint32).reshape(-1, COORDINATES)
-            tops = [np.full(len(sets), mix(np.array([r + 1], np.uint64))[0]) for r in range(runs)] if runs else [np.array(batch.column(2), np.int64).view(np.uint64)]
-            for nodes in tops:
-                at = np.arange(len(sets))
-                for level in range(1, 2 if runs else STRIDE + 1):
-                    child, back = _children(nodes, sigs[at], np.arange(len(at)))
-                    parent, at, nodes = nodes[back], at[back], child
-                    columns = [pa.array(sets[at]), pa.array(nodes.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(np.full(len(at), level, np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["d", "node", "parent", "level"])
-
-    return rows.mapInArrow(run, "d long, node long, parent long, level int")
+            tied = [np.zeros((2, 0), np.int64)]
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                d, n, rows, node = np.array(part.column(0), np.int64), np.array(part.column(1), np.int64), _matrix(part.column(2)), np.array(part.column(3), np.int64)
+                pivots = part.column(4)
+                own = np.repeat(np.arange(len(d)), np.array(pivots.value_lengths()))
+                pivots = pivots.flatten()
+                like = (rows[own] == _matrix(pivots.field("sig"))).mean(1)
+                taken = like >= threshold
+                # The share of coordinates that differ is a metric: this is what a set like a taken one has of its pivot.
+                halo = like >= threshold + _least_likeness(threshold, threshold * n, threshold * n)[own] - 1
+                tied.append(np.stack([d[own], np.array(pivots.field("d"), np.int64)])[:, halo])
+                on = np.ones(len(d), bool)
+                on[own[taken]] = False
+                child, back = _children(node[on].view(np.uint64), rows[on], d[on])
+                nothing = pa.nulls(len(back), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(back), pa.array(child.view(np.int64)), nothing], ["a", "node", "b"])
+            a, b = stars(*np.concatenate(tied, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], ["a", "node", "b"])
+
+    return held.mapInArrow(run, "a long, node long, b long")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -127,32 +171,46 @@ def _labels(linked: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """reps(d, n, sig) -> (a, b): edges whose components hold each pair that met in a small bucket and has like sketches.
+    """reps(d, n, sig) -> (a, b): edges whose components hold each pair that met in a bucket and has like sketches.
 
-    A bucket still larger than LEAF at depth DEEPEST is not dropped: each of its sets is tied to the bucket's first,
-    and the exact comparison decides.
+    All members of a large bucket are compared with its pivots. Those like a pivot go no further; whatever is similar to
+    one that is taken out is, by the triangle inequality, still somewhat like its pivot, and is tied to that. A bucket
+    all of whose sets are tied together already is done, too, so that a group of near copies doesn't stay together from
+    level to level. A bucket still larger than LEAF at depth DEEPEST is not dropped: each of its sets is tied to a
+    pivot, and the exact comparison decides.
     """
-    sigs = reps.select("d", "sig")
-    rows, lists, ties, depth, last = spill(_split(sigs, runs_for(recall, threshold)), "paths"), None, None, 1, 1
+    sigs = reps.select("d", "n", "sig")
+    rows, lists, depth = spill(_roots(reps.select("d", "sig"), runs_for(recall, threshold)), "paths"), None, 1
+    ties, known = None, None  # (a, b): edges; each set that was tied when they last settled, and the least of its component
     while True:
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("least"), F.first("parent").alias("parent"), F.first("level").alias("level"))
-        sizes = spill(sizes.where("size > 1"), "buckets")
-        large = sizes.where(F.col("size") > LEAF).select("node", "least", "level")
+        firsts = [F.min_by("d", F.xxhash64("d", "node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+        group = F.col("d")
+        if known is not None:
+            rows = rows.join(small_side(known), F.col("d") == F.col("a"), "left").select("d", "node", F.coalesce("b", "d").alias("root"))
+            group = F.col("root")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), (F.min(group) != F.max(group)).alias("mixed"), *firsts).where("mixed")
+        sizes = spill(sizes.select("node", "size", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "buckets")
         few, many = sizes.agg(F.count_if(F.col("size") <= LEAF), F.count_if(F.col("size") > LEAF)).first()
-        leaves = sizes.where(F.col("size") <= LEAF).select("node", "parent", "level")
-        if last > 1:  # a part of a small bucket says no more than that bucket
-            inner = _sized(large.select(F.col("node").alias("parent")), many)
-            leaves = leaves.where("level = 1").select("node").union(leaves.where("level > 1").join(inner, "parent", "left_semi").select("node"))
-        small = rows.join(_sized(leaves.select("node"), few), "node")
+        small = rows.join(_sized(sizes.where(F.col("size") <= LEAF).select("node"), few), "node")
         small = small.groupBy("node").agg(F.sort_array(F.collect_set("d")).alias("members")).select("members")
         lists = small if lists is None else lists.union(small)
         if not many:
             break
-        held = rows.where(F.col("level") == last).join(_sized(large.where(F.col("level") == last).select("node", "least"), many), "node")
-        if depth >= DEEPEST:
-            ties = held.where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
+        large = sizes.where(F.col("size") > LEAF).select("node", "pivots")
+        if depth == DEEPEST:
+            tied = rows.join(_sized(large, many), "node").select(F.col("d").alias("a"), F.element_at("pivots", 1).alias("b")).where("a <> b")
+            ties = tied.union(ties)
             break
-        rows, depth, last = spill(_split(held.join(sigs, "d").select("d", "sig", "node"), None), "paths"), depth + STRIDE, STRIDE
+        asked = large.select("node", F.explode("pivots").alias("d")).join(sigs, "d")
+        asked = asked.groupBy("node").agg(F.collect_list(F.struct("d", "sig")).alias("pivots"))
+        held = rows.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").join(sigs, "d").select("d", "n", "sig", "node", "pivots")
+        parts = spill(_split(held, threshold), "paths")
+        tied = parts.where("b IS NOT NULL").select("a", "b")
+        ties = tied if ties is None else ties.union(tied)
+        if depth % SETTLE == 1:
+            found = components(ties)
+            ties = known = found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+        rows, depth = parts.where("b IS NULL").select(F.col("a").alias("d"), "node"), depth + 1
     lists = lists.where("size(members) > 1").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("d"))
     full = lists.join(reps.select("d", "n", "sig"), "d").groupBy("bucket").agg(F.collect_list(F.struct("d", "n", "sig")).alias("own")).select("own")
 
@@ -162,9 +220,8 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
             for own in batch.column(0):
                 own = own.values
                 d = np.array(own.field("d"), np.int64)
-                sig = np.frombuffer(b"".join(x.as_py() for x in own.field("sig")), np.uint32).reshape(len(d), COORDINATES)
-                full_bins = COORDINATES * (1 - np.exp(-np.array(own.field("n"), float) / COORDINATES))
-                least = threshold - 4.2 * np.sqrt(threshold * (1 - threshold) / np.minimum(full_bins[:, None], full_bins[None, :]))
+                sig, n = _matrix(own.field("sig")), np.array(own.field("n"), np.int64)
+                least = _least_likeness(threshold, n[:, None], n[None, :])
                 label = _labels((sig[:, None, :] == sig[None, :, :]).mean(2) >= least)
                 moved = np.flatnonzero(label != np.arange(len(d)))
                 a += d[moved].tolist()
@@ -201,23 +258,70 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + total
 
 
-def _exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """members(root, blocks, d, id, text_hash, copies) -> (d, label, links): links of a set in a pair of blocks, and a set linked to it."""
+def _shingled(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """members(..., id, text_hash) -> the same rows with `own`, the shingles of the text, in place of id and text_hash."""
     texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(text_col).alias("text"))
-    asked = small_side(members)
-    rows = texts.join(asked, F.col("own_hash").eqNullSafe(F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("id")))
-    rows = rows.select("root", "blocks", "d", "copies", "text")
+    rows = texts.join(small_side(members), F.col("own_hash").eqNullSafe(F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("id")))
+    keys = [c for c in members.columns if c not in ("id", "text_hash")]
+    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in keys)
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                sets = [s.tobytes() for s in shingle_sets(part.column(4), words)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["root", "blocks", "d", "copies", "own"])
+                sets = [s.tobytes() for s in shingle_sets(part.column(len(keys)), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*keys, "own"])
+
+    return rows.select(*keys, "text").mapInArrow(run, f"{schema}, own binary")
+
+
+def _ringed(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Members of components of more than one block -> (root, pivot, d, far): the exact distance to the component's first set."""
+    large = members.where("blocks > 1")
+    first = large.groupBy("root").agg(F.min_by(F.struct("d", "id", "text_hash"), "d").alias("x")).select("root", "x.d", "x.id", "x.text_hash")
+    first = spill(_shingled(first, docs, id_col, text_col, words).groupBy("root", "d").agg(F.first("own").alias("core")), "pivots")
+    own = _shingled(large.select("root", "d", "id", "text_hash"), docs, id_col, text_col, words)
+    rows = own.join(small_side(first.select("root", F.col("d").alias("pivot"), "core"), PIVOT_ROWS), "root").select("root", "pivot", "d", "own", "core")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, True))
+                far.append(1 - shared / (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.float64())], ["root", "pivot", "d", "far"])
+
+    return spill(rows.mapInArrow(run, "root long, pivot long, d long, far double").distinct(), "rings")
+
 
-    sets = rows.mapInArrow(shingled, "root long, blocks int, d long, copies long, own binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """members(root, blocks, d, id, text_hash, copies, n) -> (d, label, links): parts of a set's links, and a set that it leads to.
+
+    A component of few sets is one block, whose sets are all compared. The sets of a larger one lie in rings by their
+    exact distance to its first set. By the triangle inequality all sets of two near rings are linked, and those of rings
+    far apart are not: only what lies between is compared, in pairs of blocks of BLOCK_SETS sets.
+    """
+    reach = 1 - threshold
+    ring = F.least(F.floor(F.col("far") * RINGS), F.lit(RINGS - 1)).cast("int")
+    far = _ringed(members, docs, id_col, text_col, words).withColumn("ring", ring)
+    placed = members.join(far.drop("root"), "d", "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    placed = spill(placed.select("root", "ring", "d", "id", "text_hash", "copies", "n", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"), "blocks"), "placed")
+    rings = placed.groupBy("root", "ring").agg(
+        F.min("far").alias("near"), F.max("far").alias("most"), F.sum("copies").alias("held"), F.max("blocks").alias("blocks"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"),
+    )
+    by_root = rings.groupBy("root").agg(F.collect_list(F.struct("ring", "near", "most", "held", "parts")).alias("rings"))  # RINGS at most
+    here = F.expr("filter(rings, r -> r.ring = ring)[0]")
+    placed = placed.join(small_side(spill(by_root, "ring-sizes"), PIVOT_ROWS), "root").withColumn("here", here)
+    sure = f"blocks > 1 AND r.most + here.most <= {reach - 1e-9}"
+    none = f"greatest(r.near - here.most, here.near - r.most) > {reach + 1e-9}"
+    linked = placed.where("blocks > 1").select("d", F.when((F.col("far") <= reach + 1e-9) & (F.col("far") > 0), F.col("pivot")).otherwise(F.col("d")).alias("label"),
+        (F.expr(f"aggregate(filter(rings, r -> {sure}), 0L, (n, r) -> n + r.held)") - F.when(F.expr(sure.replace("r.", "here.")), F.col("copies")).otherwise(0)).alias("links"))
+    spread = placed.withColumn("others", F.expr(f"flatten(transform(filter(rings, r -> NOT ({sure}) AND NOT ({none})), r -> transform(sequence(0, r.parts - 1), p -> r.ring * {1 << 24} + p)))"))
+    spread = spread.withColumn("block", F.expr(f"ring * {1 << 24} + cast(pmod(xxhash64(d), here.parts) as int)")).where("size(others) > 0")
+    sets = _shingled(spread.select("root", "block", "others", "d", "copies", "id", "text_hash"), docs, id_col, text_col, words)
+    sets = sets.withColumn("other", F.explode("others"))
     sets = sets.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "d", "copies", "own")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -237,7 +341,7 @@ def _exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
         at = np.flatnonzero(linked.any(1))
         return pa.table({"d": d[at], "label": d[_labels(linked)[at]], "links": linked[at].astype(np.int64) @ copies})
 
-    return sets.groupBy("root", "p", "q").applyInArrow(compare, "d long, label long, links long")
+    return sets.groupBy("root", "p", "q").applyInArrow(compare, "d long, label long, links long").union(linked)
 
 
 def similarity_classes(
@@ -262,7 +366,7 @@ def similarity_classes(
     found = components(candidate_edges(reps, threshold, recall))
     members = spill(found.join(reps.drop("sig"), found["node"] == reps["d"]).select("root", "d", "id", "text_hash", "copies", "n"), "members")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = spill(members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies"), "members")
+    members = spill(members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies", "n"), "members")
     linked = spill(_exact_links(members, docs, id_col, text_col, words, threshold), "links")
     classes = components(linked.select(F.col("d").alias("a"), F.col("label").alias("b")))
     named = classes.join(reps.select("d", "id"), F.col("node") == F.col("d")).select("d", "id", "root")

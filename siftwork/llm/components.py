@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from siftwork.llm.shared import spill
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the same components: one from each node to the least that it leads to, where that is another."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of the same components: those of each Arrow batch as stars, from each node to the least it leads to there."""
+    """Edges (a, b) of the same components: those of each Arrow batch as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, at = np.unique(np.concatenate([np.array(c, np.int64) for c in batch.columns]), return_inverse=True)
-            a, b = at[: batch.num_rows], at[batch.num_rows :]
-            label = np.arange(len(names))
-            while (label[a] != label[b]).any():
-                low = np.minimum(label[a], label[b])
-                np.minimum.at(label, label[a], low)
-                np.minimum.at(label, label[b], low)
-                label = label[label]
-            moved = np.flatnonzero(label != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["a", "b"])
+            a, b = stars(*(np.array(c, np.int64) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return edges.mapInArrow(run, "a long, b long")
 

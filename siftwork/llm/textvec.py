@@ -60,7 +60,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, lengths)
-    hashes = np.add.reduceat(_BYTE[low[at]] * _PLACE[place & 0xFFF], begin)
+    weight = _PLACE[place & 0xFFF]
+    far = np.flatnonzero(place > 0xFFF)
+    weight[far] = mix(weight[far] + (place[far] >> 12).astype(np.uint64)) | np.uint64(1)
+    hashes = np.add.reduceat(_BYTE[low[at]] * weight, begin)
     return mix(hashes + lengths.astype(np.uint64)), starts, np.searchsorted(offsets, starts, "right") - 1
 
 
