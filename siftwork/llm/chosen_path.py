@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components, stars
-from siftwork.llm.shared import BROADCAST_ROWS, small_side, spill
+from siftwork.llm.shared import BROADCAST_ROWS, fresh, small_side, spill
 from siftwork.llm.textvec import mix, shingle_sets
 
 COORDINATES, LEAF, DEEPEST = 64, 64, 13
-#: Levels between two times that the components of the ties are found, the first one at once.
-SETTLE = 4
+#: Once no bucket has more members, all that are left are compared: further levels would cost more than they save.
+LAST = 512
 #: Members of a large bucket that all of it is compared with.
 PIVOTS = 8
 #: Large buckets whose pivots' sketches (about 2,200 bytes a bucket) are broadcast at most.
@@ -175,23 +175,26 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
 
     All members of a large bucket are compared with its pivots. Those like a pivot go no further; whatever is similar to
     one that is taken out is, by the triangle inequality, still somewhat like its pivot, and is tied to that. A bucket
-    all of whose sets are tied together already is done, too, so that a group of near copies doesn't stay together from
-    level to level. A bucket still larger than LEAF at depth DEEPEST is not dropped: each of its sets is tied to a
+    all of whose sets were tied together at the first level is done, too, so that a group of near copies doesn't stay
+    together from level to level. A bucket still larger than LEAF at depth DEEPEST is not dropped: each of its sets is tied to a
     pivot, and the exact comparison decides.
     """
     sigs = reps.select("d", "n", "sig")
     rows, lists, depth = spill(_roots(reps.select("d", "sig"), runs_for(recall, threshold)), "paths"), None, 1
-    ties, known = None, None  # (a, b): edges; each set that was tied when they last settled, and the least of its component
+    ties, known = None, None  # (a, b): edges; each set that was tied at the first level, and the least of its component
     while True:
-        firsts = [F.min_by("d", F.xxhash64("d", "node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+        # The same hashes in all buckets: sets that meet in many buckets then have the same few pivots there.
+        firsts = [F.min_by("d", F.xxhash64("d", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
         group = F.col("d")
         if known is not None:
-            rows = rows.join(small_side(known), F.col("d") == F.col("a"), "left").select("d", "node", F.coalesce("b", "d").alias("root"))
+            rows = rows.join(known, F.col("d") == F.col("a"), "left").select("d", "node", F.coalesce("b", "d").alias("root"))
             group = F.col("root")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), (F.min(group) != F.max(group)).alias("mixed"), *firsts).where("mixed")
         sizes = spill(sizes.select("node", "size", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "buckets")
-        few, many = sizes.agg(F.count_if(F.col("size") <= LEAF), F.count_if(F.col("size") > LEAF)).first()
-        small = rows.join(_sized(sizes.where(F.col("size") <= LEAF).select("node"), few), "node")
+        most, total, many = sizes.agg(F.max("size"), F.count(F.lit(1)), F.count_if(F.col("size") > LEAF)).first()
+        leaf, many = (LAST, 0) if depth > 1 and (most or 0) <= LAST else (LEAF, many)
+        few = total - many
+        small = rows.join(_sized(sizes.where(F.col("size") <= leaf).select("node"), few), "node")
         small = small.groupBy("node").agg(F.sort_array(F.collect_set("d")).alias("members")).select("members")
         lists = small if lists is None else lists.union(small)
         if not many:
@@ -207,9 +210,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         parts = spill(_split(held, threshold), "paths")
         tied = parts.where("b IS NOT NULL").select("a", "b")
         ties = tied if ties is None else ties.union(tied)
-        if depth % SETTLE == 1:
+        if known is None:
             found = components(ties)
-            ties = known = found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+            ties = found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+            known = small_side(ties)
         rows, depth = parts.where("b IS NULL").select(F.col("a").alias("d"), "node"), depth + 1
     lists = lists.where("size(members) > 1").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("d"))
     full = lists.join(reps.select("d", "n", "sig"), "d").groupBy("bucket").agg(F.collect_list(F.struct("d", "n", "sig")).alias("own")).select("own")
@@ -366,7 +370,7 @@ def similarity_classes(
     found = components(candidate_edges(reps, threshold, recall))
     members = spill(found.join(reps.drop("sig"), found["node"] == reps["d"]).select("root", "d", "id", "text_hash", "copies", "n"), "members")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = spill(members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies", "n"), "members")
+    members = members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies", "n")
     linked = spill(_exact_links(members, docs, id_col, text_col, words, threshold), "links")
     classes = components(linked.select(F.col("d").alias("a"), F.col("label").alias("b")))
     named = classes.join(reps.select("d", "id"), F.col("node") == F.col("d")).select("d", "id", "root")
@@ -386,5 +390,6 @@ def similarity_classes(
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows of `docs`, with all their columns, but for those that aren't the first of their class. Null ids stay."""
     classes = similarity_classes(docs, id_col, text_col, **options)
-    dropped = spill(classes.where(f"class_id <> `{id_col}`").select(F.col(id_col).alias("__dropped")).distinct(), "dropped")
-    return docs.join(small_side(dropped), F.col(id_col) == F.col("__dropped"), "left_anti")
+    own = fresh(docs, "dropped_id")
+    dropped = spill(classes.where(f"class_id <> `{id_col}`").select(F.col(id_col).alias(own)).distinct(), "dropped")
+    return docs.join(small_side(dropped), docs[id_col] == F.col(own), "left_anti")
