@@ -206,7 +206,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
             break
         asked = large.select("node", F.explode("pivots").alias("d")).join(sigs, "d")
         asked = asked.groupBy("node").agg(F.collect_list(F.struct("d", "sig")).alias("pivots"))
-        held = rows.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").join(sigs, "d").select("d", "n", "sig", "node", "pivots")
+        # All memberships of a set come to one task, so that its ties to the same pivots become one.
+        held = rows.select("d", "node").repartition("d")
+        held = held.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").join(sigs, "d").select("d", "n", "sig", "node", "pivots")
         parts = spill(_split(held, threshold), "paths")
         tied = parts.where("b IS NOT NULL").select("a", "b")
         ties = tied if ties is None else ties.union(tied)
