@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.shared import small_side, spill
+from siftwork.llm.shared import fresh, small_side, spill
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a shingle.
@@ -38,6 +38,20 @@ def _shingles(words: str, length: int) -> Column:
     return F.transform(zipped, lambda x: F.xxhash64(F.lit(length), *[x[f"c{j}"] for j in range(length)]))
 
 
+def _postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, h, n_words, pos, key): the wanted shingles of each row and where they are; and for each row one at -1.
+
+    h is a hash of the text. Texts are split here once; all that follows reads these narrow rows.
+    """
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w"))
+    runs = [F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("key")))]
+    for k in lengths:
+        runs.append(F.transform(_shingles("w", k), lambda key, pos: F.struct(pos.alias("pos"), key.alias("key"))))
+    held = split.select("id", "h", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*runs)).alias("x")).select("id", "h", "n_words", "x.pos", "x.key")
+    known = small_side(wanted.select(F.col("key").alias("wanted")))
+    return held.join(known, F.col("key") == F.col("wanted"), "left").where("pos = -1 OR wanted IS NOT NULL").drop("wanted")
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -52,53 +66,45 @@ def contamination(
 
     A word inside any occurrence of a window is hit; a document is contaminated if n_hit > 0 and
     share * n_hit >= n_words. Null and empty texts have no words; without items nothing is hit, and items_sha256 is
-    that of the empty string. Rows of a repeated id share candidates, but each is judged by its own words. Null
-    item ids are left out of n_items and the digest. Only the named columns are read.
+    that of the empty string. Repeated rows, and rows of a repeated id, are each judged by their own words. Null
+    item ids are left out of n_items and the digest. Only the named columns are read. Rows that hold the rarest shingle
+    of a window are looked at again; an occurrence is then one narrow row.
     """
-    wins = spill(windows_of(items, item_col, item_text_col, window), "windows")
-    texts = wins.select("words").distinct()
-    lengths = [r[0] for r in texts.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 1, 2 and 3 at most
-    keyed = None
+    wins = spill(windows_of(items, item_col, item_text_col, window).withColumn("wid", F.sha2(F.array_join("words", " "), 256)), "windows")
+    texts = wins.select("wid", "words").distinct()
+    lengths = sorted(r[0] for r in texts.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # 1, 2 and 3 at most
+    keyed = texts.select("wid", "words", F.lit(0).alias("at"), F.lit(0).cast("long").alias("key")).where("false")
     for k in lengths:
-        part = texts.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).select("words", F.posexplode(_shingles("words", k)).alias("at", "key"))
-        keyed = part if keyed is None else keyed.union(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if keyed is None:
-        found = None
-    else:
-        wanted = small_side(keyed.select("key").distinct())
-        split = rows.select("id", words_of(F.col("text")).alias("w"))
-        held = None
-        for k in lengths:
-            parts = [F.col("w") if j == 0 else F.slice("w", F.lit(1 + j), F.size("w")) for j in range(k)]
-            runs = split.select("id", F.posexplode(F.arrays_zip(*[p.alias(f"c{j}") for j, p in enumerate(parts)])).alias("pos", "s"))
-            runs = runs.select("id", "pos", F.xxhash64(F.lit(k), *[F.col(f"s.c{j}") for j in range(k)]).alias("key"))
-            held = runs if held is None else held.union(runs)
-        postings = spill(held.join(wanted, "key", "left_semi"), "postings")
-        rarity = small_side(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-        # A shingle that no document holds rules its windows out: the inner join drops it, so such windows are counted first.
-        ranked = keyed.join(rarity, "key", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "at")).alias("first"))
-        prefix = small_side(ranked.where("first.n > 0").select("words", F.col("first.key").alias("key"), F.col("first.at").alias("at")), 100_000)
-        near = postings.join(prefix, "key").where("pos >= at").select("id", (F.col("pos") - F.col("at")).alias("start"), "words")
-        owned = wins.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-        near = near.join(small_side(owned, 100_000), "words")
-        found = near.groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("near"))
-    split = rows.select("id", words_of(F.col("text")).alias("w"))
-    if found is None:
-        judged = split.select("id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("ids"))
-    else:
-        found = found.withColumnRenamed("id", "found_id")
-        both = split.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
-        exact = "filter(near, x -> x.start + size(x.words) <= size(w) AND slice(w, cast(x.start + 1 as int), size(x.words)) = x.words)"
-        both = both.select("id", F.size("w").cast("long").alias("n_words"), F.expr(f"array_sort(coalesce({exact}, array()))").alias("hits"))
-        covered = (
-            "aggregate(hits, struct(0L AS total, 0L AS upto), (a, x) -> struct("
-            "a.total + greatest(0L, x.start + size(x.words) - greatest(a.upto, cast(x.start as long))) AS total, "
-            "greatest(a.upto, cast(x.start + size(x.words) as long)) AS upto), a -> a.total)"
-        )
-        ids = "array_sort(array_distinct(transform(flatten(transform(hits, x -> x.items)), x -> cast(x as string))))"
-        judged = both.select("id", "n_words", F.expr(covered).alias("n_hit"), F.expr(ids).alias("ids"))
-    return judged.select(
+        part = texts.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).select("wid", "words", F.posexplode(_shingles("words", k)).alias("at", "key"))
+        keyed = keyed.union(part)
+    postings = spill(_postings(docs, id_col, text_col, keyed.select("key").distinct(), lengths), "postings")
+    found = postings.where("pos >= 0")
+    rarity = small_side(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    # A shingle that no document holds rules its windows out: it counts 0, and is then the rarest.
+    ranked = keyed.join(rarity, "key", "left").groupBy("wid", F.size("words").alias("len")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "at")).alias("first"))
+    prefix = ranked.where("first.n > 0").select("wid", "len", F.col("first.key").alias("key"), F.col("first.at").alias("at"))
+    near = found.join(small_side(prefix), "key").where("pos >= at AND pos - at + len <= n_words")
+    near = near.groupBy("id", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("at")).alias("start"), "len", "wid")).alias("near"))
+    near = spill(near.select(F.col("id").alias("near_id"), F.col("h").alias("near_h"), "near"), "near")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.join(small_side(near), (F.col("h") == F.col("near_h")) & F.col("id").eqNullSafe(F.col("near_id")))
+    held = rows.select("id", "h", words_of(F.col("text")).alias("w"), "near")
+    held = held.select("id", "h", F.explode(F.expr("transform(near, x -> struct(x.start, x.len, x.wid, slice(w, x.start + 1, x.len) AS own))")).alias("x"))
+    held = held.select("id", "h", "x.*").join(small_side(texts), "wid").where("own = words").select("id", "h", "start", "len", "wid").distinct()
+    held = spill(held, "hits")
+    covered = (
+        "aggregate(array_sort(collect_set(struct(start, len))), struct(0L AS total, 0L AS upto), (a, x) -> struct("
+        "a.total + greatest(0L, x.start + x.len - greatest(a.upto, cast(x.start as long))) AS total, "
+        "greatest(a.upto, cast(x.start + x.len as long)) AS upto), a -> a.total)"
+    )
+    hits = held.groupBy("id", "h").agg(F.expr(covered).alias("n_hit"))
+    owners = held.select("id", "h", "wid").distinct().join(small_side(wins.select("wid", F.col("item_id").cast("string").alias("item"))), "wid").where("item IS NOT NULL")
+    owners = owners.select("id", "h", "item").distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("item")).alias("ids"))
+    judged = hits.join(owners, hits["id"].eqNullSafe(owners["id"]) & (hits["h"] == owners["h"]), "left").select(hits["id"].alias("hit_id"), hits["h"].alias("hit_h"), "n_hit", "ids")
+    every = postings.where("pos = -1")
+    out = every.join(small_side(spill(judged, "judged")), every["id"].eqNullSafe(F.col("hit_id")) & (every["h"] == F.col("hit_h")), "left")
+    out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    return out.select(
         F.col("id").alias(id_col),
         "n_words",
         "n_hit",
@@ -110,6 +116,7 @@ def contamination(
 
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all their columns, whose id isn't that of a contaminated row. Rows with a null id stay."""
+    bad_id = fresh(docs, "bad_id")
     bad = contamination(docs, items, id_col, text_col, **options).where(F.col("contaminated") & F.col(id_col).isNotNull())
-    bad = spill(bad.select(F.col(id_col).alias("__bad")).distinct(), "contaminated")
-    return docs.join(small_side(bad), F.col(id_col) == F.col("__bad"), "left_anti")
+    bad = spill(bad.select(F.col(id_col).alias(bad_id)).distinct(), "contaminated")
+    return docs.join(small_side(bad), docs[id_col] == F.col(bad_id), "left_anti")
