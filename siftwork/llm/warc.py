@@ -1,9 +1,9 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are sorted by id in shards that are ranges of ids, cut where a histogram of payload bytes says. A shard's
-task rolls to a new file once the compressed size passes a limit. A file is written under a temporary name and then
-renamed; its name and bytes depend only on the records, so a task that runs again writes the same file. A manifest,
-committed by Spark, lists the files that count.
+Records are sorted by id in shards that are ranges of ids, cut at quantiles of payload bytes over a sample of ids that
+their own hash picks. Each shard is one task, which rolls to a new file once the compressed size passes a limit. A file
+is written under a temporary name and then renamed; its name and bytes depend only on the records, so a task that runs
+again writes the same file. A manifest, committed by Spark, lists the files that count; each is read back by a task.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.shared import new_folder, spill
 
-#: Payload bytes a shard aims at, compressed bytes after which a file is closed, cells of the histogram of ids.
-SHARD_BYTES, FILE_BYTES, CELLS = 32 << 20, 8 << 20, 4096
+#: Payload bytes a shard aims at, compressed bytes after which a file is closed, ids that are sampled for each shard.
+SHARD_BYTES, FILE_BYTES, SAMPLED = 32 << 20, 8 << 20, 256
+#: Equal ranges of ids in which the cuts are looked up.
+CELLS = 4096
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 100
 #: Stands for a null id in the archive.
@@ -80,21 +82,43 @@ class _Shard:
             self.out, self.number = None, self.number + 1
 
 
-def _shard_column(rows: DataFrame, shard_bytes: int):  # noqa: ANN202
-    """The shard of an id: ranges of equally wide cells of ids, joined until they hold about `shard_bytes`."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0).cast("long"), F.lit(0).cast("long")
+def _cuts(facts: DataFrame, shard_bytes: int) -> list[int]:
+    """The first ids of the shards after the first: cumulated payload bytes of sampled ids pass a multiple of `shard_bytes`.
+
+    The ids are sampled by their hash, about SAMPLED for each shard (all of them where there is one), so that the cuts
+    depend on the records alone and follow any distribution of ids. One narrow row a shard reaches the driver.
+    """
+    n, total = facts.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
+    shards = max(1, (total or 0) // shard_bytes)
+    every = max(1, n // (shards * SAMPLED))
+    sample = facts.where((F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & F.col("page_id").isNotNull())
+    sample = sample.groupBy("page_id").agg(F.sum("payload_bytes").alias("b"))
+    held = sample.agg(F.sum("b")).first()[0]
+    if not held:
+        return []
+    before = F.sum("b").over(Window.orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))  # of the sample, about SAMPLED rows a shard
+    shard = F.floor(F.coalesce(before, F.lit(0)) * (total / held) / shard_bytes)
+    rows = sample.withColumn("shard", shard).groupBy("shard").agg(F.min("page_id").alias("first")).where("shard > 0").orderBy("first").collect()
+    return [r["first"] for r in rows]
+
+
+def _sharded(rows: DataFrame, facts: DataFrame, cuts: list[int]) -> DataFrame:
+    """`rows` with their shard: the cuts at or below their id. Null ids are in the first shard."""
+    if not cuts:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    low, high = facts.agg(F.min("page_id"), F.max("page_id")).first()
     step = (high - low) // CELLS + 1
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)).cast("long"), F.lit(0))
-    sizes = rows.groupBy(cell.alias("cell")).agg(F.sum("payload_bytes").alias("b")).orderBy("cell").collect()  # CELLS rows at most
-    starts, held = [0], 0
-    for r in sizes:
-        if held and held + r["b"] > shard_bytes:
-            starts.append(r["cell"])
-            held = 0
-        held += r["b"]
-    return F.expr(f"aggregate(array({','.join(f'{s}L' for s in starts)}), 0L, (n, s) -> n + if(s <= cell, 1L, 0L))"), cell
+    inside: list[list[int]] = [[] for _ in range(CELLS)]
+    for cut in cuts:
+        inside[(cut - low) // step].append(cut)
+    table, before = [], 0
+    for cell, own in enumerate(inside):
+        table.append((cell, before, own))
+        before += len(own)
+    cells = F.broadcast(rows.sparkSession.createDataFrame(table, "cell long, before long, cuts array<long>"))  # CELLS rows
+    cell = F.coalesce(F.expr(f"(cast(page_id as decimal(20,0)) - {low}BD) div {step}BD"), F.lit(0))
+    shard = F.expr("before + size(filter(cuts, c -> c <= coalesce(page_id, -9223372036854775808)))").cast("long")
+    return rows.withColumn("cell", cell).join(cells, "cell").withColumn("shard", shard).drop("cell", "before", "cuts")
 
 
 def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -102,20 +126,20 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
 
     Of records with equal payloads of LEAST_BYTES or more the smallest page_id is a response, the others revisit it;
     of repeated rows with that id, one is the response. Null html is an empty payload, a null url an unnamed target;
-    rows with a null page_id are written first in the first shard and are never revisited. The html is shuffled once,
-    to its shard; the decisions travel beside it as small rows.
+    rows with a null page_id are written first in the first shard and are never revisited. page_id is a whole number. An
+    empty table gives an empty manifest. The html is shuffled once, to its shard; the decisions travel beside it.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     facts = rows.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("digest"))
     facts = spill(facts, "warc-facts")
-    shard, cell = _shard_column(facts, shard_bytes)
+    cuts = _cuts(facts, shard_bytes)
     large = facts.where(F.col("payload_bytes") >= LEAST_BYTES)
     first = large.groupBy("digest").agg(F.min("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keep IS NOT NULL")
     told = large.join(first, "digest").select("page_id", "digest", "keep").distinct()
-    placed = lambda df: df.withColumn("cell", cell).withColumn("shard", shard)
+    placed = lambda df: _sharded(df, facts, cuts)
     told = placed(told).select("shard", "page_id", F.lit(0).alias("kind"), "digest", "keep", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     sent = placed(rows).select("shard", "page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("keep"), "url", F.col("html").cast("binary").alias("payload"))
-    lined = told.union(sent).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "digest", F.sha2("payload", 256), "url")
+    lined = told.union(sent).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "kind", "digest", F.sha2("payload", 256), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shard, at, keeps, used, done = None, None, {}, set(), []
@@ -193,7 +217,8 @@ def read_archive(manifest: DataFrame, folder: str) -> DataFrame:
                 yield _batch(rows)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string"
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    files = manifest.select("file")  # a task for each file, which FILE_BYTES bounds but for its last record
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
