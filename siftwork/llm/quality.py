@@ -132,7 +132,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cu
 
     posterior is the weak-label model's, score the linear scorer's, both the chance of a good text; kept is
     score >= cut. Null and empty texts have no words and measure 0. Vote patterns (3 ** 8 at most) are counted over all
-    rows; the scorer is fitted to the SAMPLE rows first by a hash of the id. Repeated rows score alike.
+    rows; the scorer is fitted to the texts of the SAMPLE ids first by a hash, the least text of each. Equal texts score alike.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col)
@@ -154,11 +154,18 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cu
                 columns = [pa.array(_code(votes(measured))), pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["code", "at", "value"])
 
-    picked = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(text_col).mapInArrow(sparse, "code long, at binary, value binary").collect()
-    sample = sorted(sample, key=lambda r: (r["code"], r["at"], r["value"]))
-    made = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float)) for r in sample]
-    weight, bias = fit_scorer(made, posterior[[r["code"] for r in sample]] if sample else np.zeros(0))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = [(np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(value, np.float32).astype(float)) for _, at, value in sample]
+        weight, bias = fit_scorer(made, posterior[[code for code, _, _ in sample]] if sample else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = texts.select(F.col("id").alias("own")).where("own IS NOT NULL").distinct().orderBy(F.xxhash64("own"), "own").limit(SAMPLE)
+    sample = texts.join(F.broadcast(picked), F.col("id") == F.col("own")).groupBy("own").agg(F.min("text").alias("text"))  # SAMPLE rows
+    # One task fits the bounded sample; the driver gets the weights alone.
+    fitted = sample.select("text").mapInArrow(sparse, "code long, at binary, value binary").repartition(1).mapInArrow(fit, "weight binary, bias double").first()
+    weight, bias = (np.frombuffer(fitted["weight"], float), fitted["bias"]) if fitted else fit_scorer([], np.zeros(0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
