@@ -215,14 +215,18 @@ def held_out(id_col: str):  # noqa: ANN201
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of a bounded sample of the labelled rows that aren't held out (see SAMPLE_TOXIC, SAMPLE_CLEAN)."""
-    rows = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y")).where("__y IS NOT NULL")
+    """A model of a bounded sample of the labelled rows that aren't held out (see SAMPLE_TOXIC, SAMPLE_CLEAN).
+
+    An id with several labels counts as toxic if one says so; of several texts of an id the least is learnt from. Null ids,
+    and null labels, teach nothing. With fewer than 20 rows, or one class only, every text with words has the same score.
+    """
+    rows = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("own")).agg(F.max(label_col).cast("int").alias("y")).where("y IS NOT NULL")
     picked = None
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        part = rows.where(F.col("__y") == value).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        part = rows.where(F.col("y") == value).orderBy(F.xxhash64("own"), "own").limit(most)
         picked = part if picked is None else picked.union(part)
-    found = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", "__y", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found = found.groupBy("__id", "__y").agg(F.min("t").alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    found = texts.join(F.broadcast(picked), F.col("id") == F.col("own")).groupBy("own", "y").agg(F.min("t").alias("t"))  # SAMPLE rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -232,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([own.weight.tobytes()], pa.binary()), *numbers], ["weight", "bias", "slope", "offset"])
 
     # One task: the sample is bounded, and the driver gets the folded table only.
-    row = found.select("__id", "__y", "t").repartition(1).mapInArrow(run, "weight binary, bias double, slope double, offset double").first()
+    row = found.select("own", "y", "t").repartition(1).mapInArrow(run, "weight binary, bias double, slope double, offset double").first()
     if row is None:
         return fit([], [])
     return Model(np.frombuffer(row["weight"], np.float32), row["bias"], row["slope"], row["offset"])
