@@ -42,7 +42,7 @@ BOILER = frozenset(
 MAIN = frozenset("article main".split())
 #: How a node starts, before its page's other nodes are known.
 HARD, SOFT, ARTICLE, PLAIN = range(4)
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]++|<)", re.S)
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*(?:\"|\Z)|=\s*+'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|([^<]++|<)", re.S)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -256,8 +256,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     low = low_values(pages, url_col, html_col)
     low = spill(low.groupBy("host").agg(F.collect_set("v").alias("low")), "low-values")
     types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    rows = pages.select(id_col, url_col, html_col, host_of(F.col(url_col)).alias("__host"))
-    rows = rows.join(small_side(low.withColumnRenamed("host", "__host"), 20_000), "__host", "left").select(id_col, url_col, html_col, "low")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    rows = rows.join(small_side(low), "host", "left").select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
