@@ -47,14 +47,22 @@ def change_percent(count: Column, previous: Column) -> Column:
     return F.when(previous > 0, F.round((count - previous) * 100.0 / previous, 1))
 
 
-def lifecycle(current: Column, history: Column, z: Column) -> Column:
-    """new, surging, rising, falling or steady, from a count, its earlier counts and its z; null where all are zero."""
-    mean = mean_of(history)
+#: Reports from which a topic is judged, sources that a new or surging one needs, and the z and move of each state. Fixed values.
+LEAST_COUNT, LEAST_SOURCES, SURGE_Z, SURGE_MOVE, RISE_Z, FALL_Z = 3, 2, 2.0, 1.5, 1.0, -1.0
+
+
+def lifecycle(current: Column, history: Column, z: Column, sources: Column, seen_before: Column | None = None) -> Column:
+    """new, surging, rising, falling or steady, from a count, its earlier counts, its z and its sources; null if too quiet to say.
+
+    `seen_before` tells of earlier counts that aren't in the history, as of windows that are compared up to the same hour.
+    """
+    mean, enough, several = mean_of(history), current >= LEAST_COUNT, sources >= LEAST_SOURCES
+    fresh = mean == 0 if seen_before is None else ~seen_before
     return (
-        F.when((current == 0) & (mean == 0), None)
-        .when((mean == 0) & (current >= 3), "new")
-        .when((z >= 3) & (current >= 2 * mean), "surging")
-        .when(z >= 1.5, "rising")
-        .when((z <= -1.5) & (mean >= 3), "falling")
-        .otherwise("steady")
+        F.when(enough & fresh & several, "new")
+        .when(enough & fresh, "steady")
+        .when(enough & (z >= SURGE_Z) & (current >= mean * SURGE_MOVE) & several, "surging")
+        .when(enough & (z >= RISE_Z), "rising")
+        .when((mean >= LEAST_COUNT) & (z <= FALL_Z), "falling")
+        .when(enough, "steady")
     )

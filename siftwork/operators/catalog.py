@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that a block of the neighbour search holds, about.
 BLOCK_VECTORS = 512
+#: Bins of scores that are cumulated apart.
+BINS = 1024
 #: Rows that a task of it holds before it merges them.
 HELD_ROWS = 400_000
 
@@ -115,15 +117,23 @@ def threshold_sweep(scored: DataFrame, cuts: list[float]) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """One row: the area under the ROC curve, as the mean rank of positives over distinct scores (ties share their mean rank).
+    """One row: the area under the ROC curve, as the mean rank of positives (ties share their mean rank); 0.5 if a class is missing.
 
-    Counts by score come first, so the running sum is over distinct scores only.
+    Scores are counted first, then cumulated within BINS even bins of their range and over the bins' totals, so that no
+    task sorts all distinct scores. Null scores are left out.
     """
+    scored = scored.where(F.col("score").isNotNull())
     by_score = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    won = F.col("p") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("p")) / 2)
-    total = by_score.select(won.alias("w"), "n", "p").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return total.select(F.round(F.col("w") / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
+    span = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    share = F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo"))
+    binned = by_score.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)))  # one row
+    others = F.col("n") - F.col("p")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy("bin").agg(F.sum(others).alias("q")).withColumn("base", before(F.col("q"), Window.orderBy("bin"))).select("bin", "base")
+    inside = binned.withColumn("below", before(others, Window.partitionBy("bin").orderBy("score")))
+    won = F.col("p") * (F.col("base") + F.col("below") + others / 2)
+    total = inside.join(F.broadcast(bins), "bin").agg(F.sum(won).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))  # BINS rows
+    return total.select(F.round(F.coalesce(F.try_divide(F.col("w"), F.col("p") * (F.col("n") - F.col("p"))), F.lit(0.5)), 6).alias("auc"))
 
 
 def smoothed_prior(rows: DataFrame, key: str, label: str, weight: float = 5.0) -> DataFrame:
@@ -139,8 +149,9 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where a vector is null or all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def misfits(vectors: DataFrame, key: str, most: int) -> DataFrame:

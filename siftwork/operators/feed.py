@@ -14,9 +14,9 @@ def in_window(start: str | None, end: str, at: str = "occurred_at") -> Column:
 
 def one_row_per_story(items: DataFrame, score: str = "value") -> DataFrame:
     """The row of each story with the highest score, then newest, then highest id; with the story's size as `members`."""
-    newest = Window.partitionBy("story").orderBy(F.desc_nulls_last(score), F.desc("occurred_at"), F.desc("item_id"))
-    ranked = items.withColumns({"place": F.row_number().over(newest), "members": F.count(F.lit(1)).over(Window.partitionBy("story"))})
-    return ranked.where("place = 1").drop("place")
+    best = F.struct(F.col(score).isNotNull(), score, "occurred_at", "item_id")
+    found = items.groupBy("story").agg(F.max_by(F.struct(*items.columns), best).alias("row"), F.count(F.lit(1)).alias("members"))
+    return found.select("row.*", "members")
 
 
 def facets(items: DataFrame, axes: dict[str, list | None]) -> DataFrame:

@@ -23,7 +23,7 @@ def series(items: DataFrame, key: str, end: str, days: int = 3, windows: int = 8
     z = stats.count_z(F.col("c0"), F.col("history"))
     return found.select(
         "key", F.col("c0").alias("now"), F.col("c1").alias("previous"), "sources", F.round(z, 4).alias("z"),
-        stats.lifecycle(F.col("c0"), F.col("history"), z).alias("state"), stats.change_percent(F.col("c0"), F.col("c1")).alias("change"),
+        stats.lifecycle(F.col("c0"), F.col("history"), F.round(z, 2), F.col("sources")).alias("state"), stats.change_percent(F.col("c0"), F.col("c1")).alias("change"),
     )
 
 
@@ -65,16 +65,19 @@ def category_links(items: DataFrame, chain: str, category: str) -> DataFrame:
 
 
 def flows(items: DataFrame, chain: str = "story") -> DataFrame:
-    """Steps between tracks in the order in which a chain first reaches them: how many, and the mean lag in hours."""
+    """Steps between tracks in the order in which a chain first reaches them: how many, and the median lag in hours.
+
+    Lags are counted by whole seconds first, so that the exact median holds a step's distinct lags only.
+    """
     arrived = items.groupBy(chain, "track").agg(F.min("occurred_at").alias("at"))
     order = Window.partitionBy(chain).orderBy("at", "track")
     steps = arrived.withColumns({"to": F.lead("track").over(order), "then": F.lead("at").over(order)}).where("to IS NOT NULL")
-    lag = F.timestamp_diff("SECOND", F.col("at"), F.col("then")) / 3600.0
-    return steps.groupBy(F.col("track").alias("from_track"), F.col("to").alias("to_track")).agg(F.count(F.lit(1)).alias("steps"), F.round(F.avg(lag), 3).alias("lag_hours"))
+    lags = steps.groupBy(F.col("track").alias("from_track"), F.col("to").alias("to_track"), F.timestamp_diff("SECOND", F.col("at"), F.col("then")).alias("lag")).agg(F.count(F.lit(1)).alias("c"))
+    return lags.groupBy("from_track", "to_track").agg(F.sum("c").alias("steps"), F.round(F.expr("percentile(lag, 0.5, c)") / 3600, 1).alias("lag_hours"))
 
 
-def day_anomalies(items: DataFrame, key: str, z: float = 1.5, ratio: float = 1.3, least: int = 8) -> DataFrame:
-    """Days on which a key has far more items than on the same weekday of up to four weeks before; quiet days count as 0."""
+def day_anomalies(items: DataFrame, key: str, z: float = 3.0, ratio: float = 2.5, least: int = 8, most: int = 8) -> DataFrame:
+    """The `most` days that stand out most: a key has far more items than on the same weekday of the four weeks before; quiet days count as 0."""
     counted = items.groupBy(F.col(key).alias("key"), F.to_date("occurred_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     span = items.agg(F.min(F.to_date("occurred_at")).alias("lo"), F.max(F.to_date("occurred_at")).alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
@@ -82,9 +85,10 @@ def day_anomalies(items: DataFrame, key: str, z: float = 1.5, ratio: float = 1.3
     filled = spine.join(counted, ["key", "day"], "left").fillna(0, ["n"])
     order = Window.partitionBy("key").orderBy("day")
     lags = F.filter(F.array(*[F.lag("n", k).over(order) for k in (7, 14, 21, 28)]), lambda x: x.isNotNull())
-    scored = filled.withColumn("h", lags).where("size(h) > 0").withColumn("mean", stats.mean_of(F.transform("h", lambda x: x.cast("double"))))
+    scored = filled.withColumn("h", lags).where("size(h) = 4").withColumn("mean", stats.mean_of(F.transform("h", lambda x: x.cast("double"))))
     scored = scored.withColumn("z", stats.rate_z(F.col("n"), F.col("mean")))
-    return scored.where((F.col("z") >= z) & (F.col("n") >= ratio * F.col("mean")) & (F.col("n") >= least)).select("key", "day", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+    found = scored.where((F.col("z") >= z) & (F.col("n") >= ratio * F.col("mean")) & (F.col("n") >= least))
+    return found.orderBy(F.desc("z"), "key", "day").limit(most).select("key", "day", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
 
 
 def movers(snapshots: DataFrame, cutoff: str, most: int) -> DataFrame:
@@ -103,3 +107,114 @@ def movers(snapshots: DataFrame, cutoff: str, most: int) -> DataFrame:
 def first_ever(items: DataFrame, key: str, since: str) -> DataFrame:
     """Keys whose first report falls on or after `since`, with that time."""
     return items.groupBy(F.col(key).alias("key")).agg(F.min("occurred_at").alias("debut")).where(F.col("debut") >= F.lit(since).cast("timestamp_ntz"))
+
+
+def platform_z(items: DataFrame, platform: str, at: str, least: int = 30) -> DataFrame:
+    """How fast each item gains, log1p(value / hours since it came, two at least), against its platform's mean and deviation.
+
+    A platform of fewer than `least` items is held against all of them; without any deviation z is 0.
+    """
+    hours = F.timestamp_diff("SECOND", F.col("occurred_at"), F.lit(at).cast("timestamp_ntz")) / 3600.0
+    own = items.select("item_id", F.col(platform).alias("platform"), F.log1p(F.greatest("value", F.lit(0.0)) / F.greatest(hours, F.lit(2.0))).alias("v"))
+    by = own.groupBy("platform").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count(F.lit(1)).alias("n"))
+    pooled = own.agg(F.avg("v").alias("am"), F.stddev_pop("v").alias("asd"))
+    scored = own.join(by, "platform").crossJoin(F.broadcast(pooled))  # one row
+    mean, spread = F.when(F.col("n") >= least, F.col("m")).otherwise(F.col("am")), F.when(F.col("n") >= least, F.col("sd")).otherwise(F.col("asd"))
+    return scored.select("item_id", F.round(F.when(spread > 0, (F.col("v") - mean) / spread).otherwise(0.0), 4).alias("z"))
+
+
+def paced_counts(items: DataFrame, key: str, end: str, now: str, days: int = 7, windows: int = 8) -> DataFrame:
+    """Each key's counts in the trailing windows, oldest first; all up to the share of a window that has passed at `now` in the last one."""
+    last = F.lit(end).cast("timestamp_ntz")
+    back = window_of("occurred_at", end, days, windows)
+    since = lambda t: F.timestamp_diff("SECOND", last - F.expr(f"INTERVAL {days} DAYS"), t)
+    into = F.pmod(F.timestamp_diff("SECOND", last - F.expr(f"INTERVAL {days * windows} DAYS"), F.col("occurred_at")), F.lit(days * 86_400))
+    rows = items.withColumn("back", back).where("back IS NOT NULL").where(into < since(F.lit(now).cast("timestamp_ntz")))
+    counts = F.array(*[F.count_if(F.col("back") == i) for i in range(windows - 1, -1, -1)])
+    return rows.groupBy(F.col(key).alias("key")).agg(counts.alias("counts"))
+
+
+def history_of(items: DataFrame, key: str, start: str, end: str, days: int) -> DataFrame:
+    """Keys reported in a window, with their first report ever: debut if that is in it, returning if none came in the `days` days before it."""
+    at, begin = F.col("occurred_at"), F.lit(start).cast("timestamp_ntz")
+    inside = (at >= begin) & (at < F.lit(end).cast("timestamp_ntz"))
+    before = (at < begin) & (at >= begin - F.expr(f"INTERVAL {days} DAYS"))
+    found = items.groupBy(F.col(key).alias("key")).agg(F.count_if(inside).alias("n"), F.min("occurred_at").alias("first_ever"), F.count_if(before).alias("b"))
+    debut = F.col("first_ever") >= begin
+    return found.where("n > 0").select("key", "n", "first_ever", debut.alias("debut"), (~debut & (F.col("b") == 0)).alias("returning"))
+
+
+def gains(snapshots: DataFrame, item: str, theme: str, start: str, end: str) -> DataFrame:
+    """(theme, items, score): the sum of log1p of what each item's metric gained in a window, by theme.
+
+    The gain is the last reading in the window less the last one before it, else the first in it.
+    """
+    at, begin = F.col("occurred_at"), F.lit(start).cast("timestamp_ntz")
+    inside, order = at >= begin, F.struct("occurred_at", "item_id")
+    own = snapshots.where(at < F.lit(end).cast("timestamp_ntz")).groupBy(F.col(theme).alias("theme"), F.col(item).alias("item")).agg(
+        F.max_by(F.when(inside, F.col("value")), F.when(inside, order)).alias("now"),
+        F.coalesce(F.max_by(F.when(~inside, F.col("value")), F.when(~inside, order)), F.min_by(F.when(inside, F.col("value")), F.when(inside, order))).alias("then"),
+    )
+    grown = own.where("now > then").select("theme", F.log1p(F.col("now") - F.col("then")).alias("g"))
+    return grown.groupBy("theme").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("g"), 2).alias("score"))
+
+
+def signal_candidates(topics: DataFrame, overall: dict[str, Column] | None = None) -> DataFrame:
+    """topics(key, now, mean, z, state, sources, effective, home, research, all_now, base_research, base_all) -> (tone, key, score).
+
+    surge: the state says so. cool: falling. thin: rising or surging on few effective sources. gap: several sources, none at
+    home, though the usual share at home makes that unlikely. shift: the share of research fell, by 0.2 and significantly.
+    """
+    share = topics.agg((F.sum("home") / F.sum("all_now")).alias("rate"))
+    rows = topics.crossJoin(F.broadcast(share))  # one row
+    chance = stats.zero_chance(F.col("now"), F.coalesce("rate", F.lit(0.0)))
+    drop_z = stats.two_proportion_z(F.col("base_research"), F.col("base_all"), F.col("research"), F.col("all_now"))
+    drop = F.try_divide(F.col("base_research"), F.col("base_all")) - F.try_divide(F.col("research"), F.col("all_now"))
+    tones = {
+        "surge": (F.col("state") == "surging", F.col("z")),
+        "cool": (F.col("state") == "falling", -F.col("z")),
+        "thin": (F.col("state").isin("surging", "rising") & (F.col("effective") < 2.5), F.col("z")),
+        "gap": ((F.coalesce("state", F.lit("")) != "falling") & (F.col("sources") >= 2) & (F.col("home") == 0) & (chance <= 0.05), F.col("now").cast("double")),
+        "shift": ((F.col("now") >= 5) & (drop >= 0.2) & (drop_z >= 2), drop_z),
+    }
+    found = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(t).alias("tone"), score.cast("double").alias("score"))) for t, (hit, score) in tones.items()])
+    return rows.select("key", F.explode(found).alias("s")).where("s IS NOT NULL").select("s.tone", "key", F.round("s.score", 4).alias("score"))
+
+
+def keyword_pick(topics: DataFrame, live: int = 90, falling: int = 12) -> DataFrame:
+    """topics(key, now, mean, state) -> the `live` keys with most reports, and of the falling ones those with the largest mean."""
+    best = topics.where("now > 0 AND coalesce(state, '') <> 'falling'").orderBy(F.desc("now"), "key").limit(live).select("key", F.lit("live").alias("why"))
+    return best.union(topics.where("state = 'falling'").orderBy(F.desc("mean"), "key").limit(falling).select("key", F.lit("falling").alias("why")))
+
+
+def calendar(items: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(day, key, n) for every day from `start` to before `end` and every key, zeros too."""
+    counted = items.groupBy(F.to_date("occurred_at").alias("day"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    days = items.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))).alias("day"))
+    spine = counted.select("key").distinct().crossJoin(F.broadcast(days))  # calendar days
+    return spine.join(counted, ["day", "key"], "left").select("day", "key", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def entries(items: DataFrame, actor: str, theme: str, start: str) -> DataFrame:
+    """(theme, actor, n): actors that a theme has reports of since `start` and had none of before."""
+    late = F.col("occurred_at") >= F.lit(start).cast("timestamp_ntz")
+    found = items.groupBy(F.col(theme).alias("theme"), F.col(actor).alias("actor")).agg(F.count_if(late).alias("n"), F.count_if(~late).alias("b"))
+    return found.where("n > 0 AND b = 0").select("theme", "actor", "n")
+
+
+def leaders(items: DataFrame, actor: str, theme: str, most: int = 3) -> DataFrame:
+    """(theme, actor, n, share, place): the actors named most in each theme, and their share of its reports."""
+    counts = items.groupBy(F.col(theme).alias("theme"), F.col(actor).alias("actor")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("theme").agg(F.sum("n").alias("total"))
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("n"), "actor"))).where(F.col("place") <= most)
+    return ranked.join(totals, "theme").select("theme", "actor", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"), "place")
+
+
+def spikes(items: DataFrame, array: str, day: str, days: int = 28, least: int = 3, most: int = 3) -> DataFrame:
+    """(key, n, lift): elements most above their average of the `days` days before a day."""
+    on, first = F.to_date("occurred_at"), F.date_sub(F.lit(day).cast("date"), days)
+    rows = items.where((on >= first) & (on <= F.lit(day).cast("date"))).select(on.alias("on"), F.explode(array).alias("key"))
+    today = F.col("on") == F.lit(day).cast("date")
+    found = rows.groupBy("key").agg(F.count_if(today).alias("n"), F.count_if(~today).alias("b")).where(F.col("n") >= least)
+    lift = F.round(F.col("n") - F.col("b") / days, 4)
+    return found.select("key", "n", lift.alias("lift")).orderBy(F.desc("lift"), "key").limit(most)

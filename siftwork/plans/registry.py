@@ -123,8 +123,8 @@ _SERIES = f"""WITH {ITEMS}, w AS (SELECT *, {_BACK} AS w FROM items), c AS (
 
 
 @query("topic_series", _SERIES + """SELECT key, c0 AS now, c1 AS previous, sources, round(z, 4) AS z,
-  CASE WHEN c0 = 0 AND mean = 0 THEN NULL WHEN mean = 0 AND c0 >= 3 THEN 'new' WHEN z >= 3 AND c0 >= 2 * mean THEN 'surging' WHEN z >= 1.5 THEN 'rising'
-  WHEN z <= -1.5 AND mean >= 3 THEN 'falling' ELSE 'steady' END AS state, CASE WHEN c1 > 0 THEN round((c0 - c1) * 100.0 / c1, 1) END AS change FROM z""")
+  CASE WHEN c0 >= 3 AND mean = 0 THEN CASE WHEN sources >= 2 THEN 'new' ELSE 'steady' END WHEN c0 >= 3 AND round(z, 2) >= 2 AND c0 >= 1.5 * mean AND sources >= 2 THEN 'surging'
+  WHEN c0 >= 3 AND round(z, 2) >= 1 THEN 'rising' WHEN mean >= 3 AND round(z, 2) <= -1 THEN 'falling' WHEN c0 >= 3 THEN 'steady' END AS state, CASE WHEN c1 > 0 THEN round((c0 - c1) * 100.0 / c1, 1) END AS change FROM z""")
 def _(spark, d):
     return radar.series(items(spark, d), "theme", END)
 
@@ -156,7 +156,7 @@ def _(spark, d):
 
 @query("track_flows", f"""WITH {ITEMS}, f AS (SELECT story, track, min(occurred_at) AS t FROM items GROUP BY 1, 2), s AS (
   SELECT track, lead(track) OVER w AS nxt, t, lead(t) OVER w AS nt FROM f WINDOW w AS (PARTITION BY story ORDER BY t, track))
-  SELECT track AS from_track, nxt AS to_track, count(*) AS steps, round(avg(datesub('second', t, nt) / 3600.0), 3) AS lag_hours FROM s WHERE nxt IS NOT NULL GROUP BY 1, 2""")
+  SELECT track AS from_track, nxt AS to_track, count(*) AS steps, round(quantile_cont(datesub('second', t, nt), 0.5) / 3600.0, 1) AS lag_hours FROM s WHERE nxt IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
     return radar.flows(items(spark, d))
 
@@ -165,8 +165,8 @@ def _(spark, d):
   days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM c),
   f AS (SELECT k.key, days.day, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT key FROM c) k CROSS JOIN days LEFT JOIN c ON c.key = k.key AND c.day = days.day),
   l AS (SELECT *, list_filter([lag(n, 7) OVER w, lag(n, 14) OVER w, lag(n, 21) OVER w, lag(n, 28) OVER w], lambda x: x IS NOT NULL) AS h FROM f WINDOW w AS (PARTITION BY key ORDER BY day)),
-  m AS (SELECT *, list_avg(h) AS mean FROM l WHERE len(h) > 0), z AS (SELECT *, (n - mean) / sqrt(greatest(mean, 1.0)) AS z FROM m)
-  SELECT key, day, n, round(mean, 4) AS mean, round(z, 4) AS z FROM z WHERE z >= 1.5 AND n >= 1.3 * mean AND n >= 8""")
+  m AS (SELECT *, list_avg(h) AS mean FROM l WHERE len(h) = 4), z AS (SELECT *, (n - mean) / sqrt(greatest(mean, 1.0)) AS z FROM m)
+  SELECT key, day, n, round(mean, 4) AS mean, round(z, 4) AS z FROM z WHERE z >= 3 AND n >= 2.5 * mean AND n >= 8 ORDER BY z.z DESC, key, day LIMIT 8""")
 def _(spark, d):
     return radar.day_anomalies(items(spark, d), "theme")
 
@@ -315,10 +315,10 @@ _SCORED = "s AS (SELECT n_chars % 1000 / 1000.0 AS score, quality AS label FROM
 
 
 @query("threshold_sweep", f"""WITH {_SCORED}, c AS (SELECT cut, count(*) FILTER (score >= cut AND label = 1) AS tp, count(*) FILTER (score >= cut) AS said, count(*) FILTER (label = 1) AS n
-  FROM s, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS cut) GROUP BY cut)
+  FROM s, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS cut) GROUP BY cut)
   SELECT cut, CASE WHEN said > 0 THEN round(tp / said, 4) END AS precision, CASE WHEN n > 0 THEN round(tp / n, 4) END AS recall, CASE WHEN tp > 0 THEN round(2 * (tp / said) * (tp / n) / (tp / said + tp / n), 4) END AS f1 FROM c""")
 def _(spark, d):
-    return catalog.threshold_sweep(_scored(spark, d), [0.1, 0.25, 0.5, 0.75, 0.9])
+    return catalog.threshold_sweep(_scored(spark, d), [k / 10 for k in range(10)])
 
 
 @query("auc", f"""WITH {_SCORED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s),
@@ -414,18 +414,17 @@ def _(spark, d):
     return items(spark, d).groupBy("story").agg(F.countDistinct("track").alias("tracks"), F.count(F.lit(1)).alias("n")).where("tracks >= 2")
 
 
-@query("continuing_stories", f"WITH {ITEMS} SELECT theme, source, count(DISTINCT CAST(occurred_at AS DATE)) AS days FROM items WHERE occurred_at >= '2024-01-24' GROUP BY 1, 2 HAVING count(DISTINCT CAST(occurred_at AS DATE)) >= 3")
+@query("continuing_stories", f"WITH {ITEMS} SELECT theme, source, count(DISTINCT CAST(occurred_at AS DATE)) AS days FROM items WHERE occurred_at >= '2024-01-24' GROUP BY 1, 2 HAVING count(DISTINCT CAST(occurred_at AS DATE)) >= 2 ORDER BY days DESC, theme, source LIMIT 5")
 def _(spark, d):
     own = items(spark, d).where(feed.in_window("2024-01-24", "2100-01-01"))
-    return own.groupBy("theme", "source").agg(F.countDistinct(F.to_date("occurred_at")).alias("days")).where("days >= 3")
+    return own.groupBy("theme", "source").agg(F.countDistinct(F.to_date("occurred_at")).alias("days")).where("days >= 2").orderBy(F.desc("days"), "theme", "source").limit(5)
 
 
-@query("platform_z", f"""WITH {ITEMS}, v AS (SELECT item_id, track, ln(1 + greatest(value, 0) / 2) AS v FROM items), s AS (SELECT track, avg(v) AS m, stddev_pop(v) AS sd FROM v GROUP BY track)
-  SELECT item_id, round(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END, 4) AS z FROM v JOIN s USING (track)""")
+@query("platform_z", f"""WITH {ITEMS}, v AS (SELECT item_id, track, ln(1 + greatest(value, 0) / greatest(datesub('second', occurred_at, TIMESTAMP '{END}') / 3600.0, 2)) AS v, track || theme AS platform FROM items WHERE value IS NOT NULL),
+  s AS (SELECT platform, avg(v) AS m, stddev_pop(v) AS sd, count(*) AS n FROM v GROUP BY platform), a AS (SELECT avg(v) AS am, stddev_pop(v) AS asd FROM v)
+  SELECT item_id, round(CASE WHEN n >= 30 THEN CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END WHEN asd > 0 THEN (v - am) / asd ELSE 0 END, 4) AS z FROM v JOIN s USING (platform), a""")
 def _(spark, d):
-    own = items(spark, d).select("item_id", "track", F.log1p(F.greatest("value", F.lit(0.0)) / 2).alias("v"))
-    by = own.groupBy("track").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    return own.join(F.broadcast(by), "track").select("item_id", F.round(F.when(F.col("sd") > 0, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0), 4).alias("z"))  # one row a track
+    return radar.platform_z(items(spark, d).where("value IS NOT NULL").withColumn("platform", F.concat("track", F.col("theme").cast("string"))), "platform", END)
 
 
 @query("dotted_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, json_extract_string(props, '$.a.b[0]') AS missing FROM events")
@@ -443,16 +442,19 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncated(F.col("text"), 80).alias("short"))
 
 
-@query("dedup_urls", r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^(www|m|mobile|amp)[.]', '') ||
-  rtrim(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/amp$', ''), '/') AS u FROM pages""")
+_CANONICAL = f"""p AS (SELECT page_id, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS path,
+  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{text.TRACKING}'))) AS q FROM pages),
+  c AS (SELECT page_id, scheme, CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END AS host, CASE WHEN path = '' THEN '/' ELSE path END AS path, q FROM p)"""
+
+
+@query("dedup_urls", f"""WITH {_CANONICAL}, e AS (SELECT page_id, regexp_replace(regexp_replace(host, '^(m|mobile|amp)[.]', ''), '^www[.]', '') AS host, rtrim(regexp_replace(regexp_replace(path, '/amp/?$', ''), '^/amp/', '/'), '/') AS path,
+  list_filter(q, lambda x: NOT regexp_matches(lower(x), '{text.AMP}')) AS q FROM c)
+  SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM e""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.dedup_url(F.col("url")).alias("u"))
 
 
-@query("canonical_urls", f"""WITH p AS (SELECT page_id, url, rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS path,
-  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{text.TRACKING}'))) AS q FROM pages)
-  SELECT page_id, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '(:80|:443)$', '') ||
-  CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM p""")
+@query("canonical_urls", f"WITH {_CANONICAL} SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM c")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("u"))
 
@@ -484,3 +486,7 @@ def _(spark, d):
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), t), F.lit("-W"), F.lpad(F.weekofyear(t).cast("string"), 2, "0"))
     own = items(spark, d).select("item_id", (F.col("occurred_at") + F.expr("INTERVAL 9 HOURS")).alias("t"))
     return own.select("item_id", week.alias("week"), F.date_format(t, "yyyy-MM").alias("month"), F.concat(F.year(t), F.lit("-Q"), F.quarter(t)).alias("quarter"))
+
+
+# The other modules of queries add themselves.
+from siftwork.plans import digests, signals, stories  # noqa: E402, F401

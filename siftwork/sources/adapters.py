@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The four tracks, from research to the news. Fixed values.
+TRACKS = ("research_ip", "oss", "community", "news")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,3 +58,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("c"), "c_custkey")).alias("path"),
         F.lit(3).alias("depth"),
     )
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts: item, title, text, region, outlet, track, time, relevance, story (null for one in five)."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        doc.alias("item_id"),
+        F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 80).alias("title"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("lang").alias("region"),
+        F.col("source").alias("outlet"),
+        F.element_at(F.array(*map(F.lit, TRACKS)), (F.floor(doc / 3) % 4 + 1).cast("int")).alias("track"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id * 37 % 1440 as int))").alias("occurred_at"),
+        (F.col("n_chars") % 101).alias("relevance"),
+        F.when(doc % 5 != 0, F.floor(doc / 4)).alias("story"),
+    )

@@ -24,16 +24,17 @@ def first_seen(stream: DataFrame, key: str, at: str = "occurred_at") -> DataFram
 
 
 def ledger_writer(path: str, key: str, content: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows of a batch whose content differs from all that the ledger has of the key.
+    """A foreachBatch function that appends rows of a batch whose content differs from the latest that the ledger has of the key.
 
-    A batch that is run again after a failure finds its own rows and adds none.
+    A key that goes back to an earlier content is appended again. Of several rows of a key in a batch the one with the least
+    content counts. A batch that is run again after a failure finds its own rows and adds none.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key, content]).select(key, content, F.lit(batch_id).alias("batch"))
+        fresh = batch.groupBy(key).agg(F.min(content).alias(content)).select(key, content, F.lit(batch_id).cast("long").alias("batch"))
         try:
-            known = spark.read.parquet(path).where(F.col("batch") <= batch_id).select(key, content)
+            known = spark.read.parquet(path).where(F.col("batch") <= batch_id).groupBy(key).agg(F.max_by(content, "batch").alias(content))
         except Exception as error:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(error):
                 raise
