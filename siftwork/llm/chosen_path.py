@@ -28,6 +28,8 @@ LAST = 512
 PIVOTS = 8
 #: Large buckets whose pivots' sketches (about 2,200 bytes a bucket) are broadcast at most.
 BROADCAST_PIVOTS = 10_000
+#: Sets in the buckets that are compared together, and members of large buckets that a task splits, about.
+GROUP_SETS, TASK_SETS = 20_000, 20_000
 #: Of sets, and of their shingles, that one block holds at most (a longer set has a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 #: Rings of distances to a large component's first set; rows of such sets (or of all rings of a component) that are broadcast at most.
@@ -181,6 +183,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
     """
     sigs = reps.select("d", "n", "sig")
     rows, lists, depth = spill(_roots(reps.select("d", "sig"), runs_for(recall, threshold)), "paths"), None, 1
+    held_sets = 0
     ties, known = None, None  # (a, b): edges; each set that was tied at the first level, and the least of its component
     while True:
         # The same hashes in all buckets: sets that meet in many buckets then have the same few pivots there.
@@ -191,7 +194,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
             group = F.col("root")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), (F.min(group) != F.max(group)).alias("mixed"), *firsts).where("mixed")
         sizes = spill(sizes.select("node", "size", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "buckets")
-        most, total, many = sizes.agg(F.max("size"), F.count(F.lit(1)), F.count_if(F.col("size") > LEAF)).first()
+        most, total, many, sets, split = sizes.agg(
+            F.max("size"), F.count(F.lit(1)), F.count_if(F.col("size") > LEAF), F.sum("size"), F.sum(F.when(F.col("size") > LEAF, F.col("size")))
+        ).first()
+        held_sets += sets or 0
         leaf, many = (LAST, 0) if depth > 1 and (most or 0) <= LAST else (LEAF, many)
         few = total - many
         small = rows.join(_sized(sizes.where(F.col("size") <= leaf).select("node"), few), "node")
@@ -206,10 +212,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
             break
         asked = large.select("node", F.explode("pivots").alias("d")).join(sigs, "d")
         asked = asked.groupBy("node").agg(F.collect_list(F.struct("d", "sig")).alias("pivots"))
-        # All memberships of a set come to one task, so that its ties to the same pivots become one.
+        # All memberships of a set come to one task, and to few enough tasks that their ties to the same pivots become one.
         held = rows.select("d", "node").repartition("d")
         held = held.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").join(sigs, "d").select("d", "n", "sig", "node", "pivots")
-        parts = spill(_split(held, threshold), "paths")
+        parts = spill(_split(held.coalesce(1 + split // TASK_SETS), threshold), "paths")
         tied = parts.where("b IS NOT NULL").select("a", "b")
         ties = tied if ties is None else ties.union(tied)
         if known is None:
@@ -218,23 +224,26 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
             known = small_side(ties)
         rows, depth = parts.where("b IS NULL").select(F.col("a").alias("d"), "node"), depth + 1
     lists = lists.where("size(members) > 1").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("d"))
-    full = lists.join(reps.select("d", "n", "sig"), "d").groupBy("bucket").agg(F.collect_list(F.struct("d", "n", "sig")).alias("own")).select("own")
+    # Buckets go to tasks in groups of about GROUP_SETS sets, so that no more than those are in a worker's memory.
+    part = F.pmod(F.xxhash64("bucket"), F.lit(1 + held_sets // GROUP_SETS))
+    full = lists.join(reps.select("d", "n", "sig"), "d").select(part.alias("part"), "bucket", "d", "n", "sig")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for own in batch.column(0):
-                own = own.values
-                d = np.array(own.field("d"), np.int64)
-                sig, n = _matrix(own.field("sig")), np.array(own.field("n"), np.int64)
-                least = _least_likeness(threshold, n[:, None], n[None, :])
-                label = _labels((sig[:, None, :] == sig[None, :, :]).mean(2) >= least)
-                moved = np.flatnonzero(label != np.arange(len(d)))
-                a += d[moved].tolist()
-                b += d[label[moved]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    edges = full.mapInArrow(run, "a long, b long")
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket").combine_chunks()
+        bucket = np.array(table.column("bucket"), np.int64)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        a, b = [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+            own = table.slice(lo, hi - lo)
+            d, n, sig = np.array(own.column("d"), np.int64), np.array(own.column("n"), np.int64), _matrix(own.column("sig"))
+            label = _labels(np.stack([(sig == row).mean(1) for row in sig]) >= _least_likeness(threshold, n[:, None], n[None, :]))
+            moved = np.flatnonzero(label != np.arange(len(d)))
+            a.append(d[moved])
+            b.append(d[label[moved]])
+        a, b = stars(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": a, "b": b})
+
+    edges = full.groupBy("part").applyInArrow(compare, "a long, b long")
     return edges if ties is None else edges.union(ties)
 
 
