@@ -39,17 +39,26 @@ def _shingles(words: str, length: int) -> Column:
 
 
 def _postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, h, n_words, pos, key): the wanted shingles of each row and where they are; and for each row one at -1.
+    """(id, h, n_words, pos, key): the wanted(k, key) shingles of each row and where they are; and for each row one without a key.
 
     h is a hash of the text. Texts are split here once; all that follows reads these narrow rows.
     """
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w"))
-    runs = [F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("key")))]
+    parts = [F.col("w") if j == 0 else F.slice("w", F.lit(1 + j), F.size("w")) for j in range(max(lengths, default=1))]
+    runs = split.select("id", "h", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(*[x.alias(f"c{j}") for j, x in enumerate(parts)])).alias("pos", "s"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    hits = []
     for k in lengths:
-        runs.append(F.transform(_shingles("w", k), lambda key, pos: F.struct(pos.alias("pos"), key.alias("key"))))
-    held = split.select("id", "h", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*runs)).alias("x")).select("id", "h", "n_words", "x.pos", "x.key")
-    known = small_side(wanted.select(F.col("key").alias("wanted")))
-    return held.join(known, F.col("key") == F.col("wanted"), "left").where("pos = -1 OR wanted IS NOT NULL").drop("wanted")
+        words = [F.col(f"s.c{j}") for j in range(k)]
+        known = small_side(wanted.where(F.col("k") == k).select(F.col("key").alias(f"wanted{k}")).distinct())
+        runs = runs.withColumn(f"key{k}", F.when(words[-1].isNotNull(), F.xxhash64(F.lit(k), *words))).join(known, F.col(f"key{k}") == F.col(f"wanted{k}"), "left")
+        hits.append(F.col(f"wanted{k}"))
+    some = first
+    for hit in hits:
+        some = some | hit.isNotNull()
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(F.when(first, F.array(F.lit(None).cast("long"))).otherwise(none), F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else none)
+    return runs.where(some).select("id", "h", "n_words", F.coalesce("pos", F.lit(0)).alias("pos"), F.explode(keys).alias("key"))
 
 
 def contamination(
@@ -73,12 +82,12 @@ def contamination(
     wins = spill(windows_of(items, item_col, item_text_col, window).withColumn("wid", F.sha2(F.array_join("words", " "), 256)), "windows")
     texts = wins.select("wid", "words").distinct()
     lengths = sorted(r[0] for r in texts.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # 1, 2 and 3 at most
-    keyed = texts.select("wid", "words", F.lit(0).alias("at"), F.lit(0).cast("long").alias("key")).where("false")
+    keyed = texts.select("wid", "words", F.lit(0).alias("k"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("key")).where("false")
     for k in lengths:
-        part = texts.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).select("wid", "words", F.posexplode(_shingles("words", k)).alias("at", "key"))
+        part = texts.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).select("wid", "words", F.lit(k).alias("k"), F.posexplode(_shingles("words", k)).alias("at", "key"))
         keyed = keyed.union(part)
-    postings = spill(_postings(docs, id_col, text_col, keyed.select("key").distinct(), lengths), "postings")
-    found = postings.where("pos >= 0")
+    postings = spill(_postings(docs, id_col, text_col, keyed.select("k", "key"), lengths), "postings")
+    found = postings.where("key IS NOT NULL")
     rarity = small_side(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     # A shingle that no document holds rules its windows out: it counts 0, and is then the rarest.
     ranked = keyed.join(rarity, "key", "left").groupBy("wid", F.size("words").alias("len")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "at")).alias("first"))
@@ -101,7 +110,7 @@ def contamination(
     owners = held.select("id", "h", "wid").distinct().join(small_side(wins.select("wid", F.col("item_id").cast("string").alias("item"))), "wid").where("item IS NOT NULL")
     owners = owners.select("id", "h", "item").distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("item")).alias("ids"))
     judged = hits.join(owners, hits["id"].eqNullSafe(owners["id"]) & (hits["h"] == owners["h"]), "left").select(hits["id"].alias("hit_id"), hits["h"].alias("hit_h"), "n_hit", "ids")
-    every = postings.where("pos = -1")
+    every = postings.where("key IS NULL")
     out = every.join(small_side(spill(judged, "judged")), every["id"].eqNullSafe(F.col("hit_id")) & (every["h"] == F.col("hit_h")), "left")
     out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     return out.select(
