@@ -31,7 +31,7 @@ BROADCAST_PIVOTS = 10_000
 #: Sets in the buckets that are compared together, and members of large buckets that a task splits, about.
 GROUP_SETS, TASK_SETS = 20_000, 20_000
 #: Of sets, and of their shingles, that one block holds at most (a longer set has a block of its own).
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 250_000
 #: Rings of distances to a large component's first set; rows of such sets (or of all rings of a component) that are broadcast at most.
 RINGS, PIVOT_ROWS = 50, 20_000
 _EDGES = (np.arange(COORDINATES + 1, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
@@ -213,8 +213,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         asked = large.select("node", F.explode("pivots").alias("d")).join(sigs, "d")
         asked = asked.groupBy("node").agg(F.collect_list(F.struct("d", "sig")).alias("pivots"))
         # All memberships of a set come to one task, and to few enough tasks that their ties to the same pivots become one.
-        held = rows.select("d", "node").repartition("d")
-        held = held.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").join(sigs, "d").select("d", "n", "sig", "node", "pivots")
+        # The pivots, most of a row, come last: nothing is sorted with them.
+        held = rows.select("d", "node").join(_sized(large.select("node"), many), "node", "left_semi").repartition("d").join(sigs, "d")
+        held = held.join(F.broadcast(asked) if many <= BROADCAST_PIVOTS else asked, "node").select("d", "n", "sig", "node", "pivots")
         parts = spill(_split(held.coalesce(1 + split // TASK_SETS), threshold), "paths")
         tied = parts.where("b IS NOT NULL").select("a", "b")
         ties = tied if ties is None else ties.union(tied)
