@@ -190,9 +190,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         firsts = [F.min_by("d", F.xxhash64("d", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
         group = F.col("d")
         if known is not None:
-            rows = rows.join(known, F.col("d") == F.col("a"), "left").select("d", "node", F.coalesce("b", "d").alias("root"))
+            named = rows.join(known, F.col("d") == F.col("a"), "left").select("d", "node", F.coalesce("b", "d").alias("root"))
             group = F.col("root")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), (F.min(group) != F.max(group)).alias("mixed"), *firsts).where("mixed")
+        sizes = (rows if known is None else named).groupBy("node").agg(F.count(F.lit(1)).alias("size"), (F.min(group) != F.max(group)).alias("mixed"), *firsts).where("mixed")
         sizes = spill(sizes.select("node", "size", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "buckets")
         most, total, many, sets, split = sizes.agg(
             F.max("size"), F.count(F.lit(1)), F.count_if(F.col("size") > LEAF), F.sum("size"), F.sum(F.when(F.col("size") > LEAF, F.col("size")))
