@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chosen_path, decontaminate, exact_dedup, pii, quality, site_tree, toxicity, url_filter, warc
+from siftwork.llm import bpe, chosen_path, decontaminate, exact_dedup, hard_negatives, merkle, packing, pii, quality, site_tree, toxicity, url_filter, warc
 
 #: The rank file and pattern of the registered encoding.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary of byte_bpe_50k.json, as ranks.
+PACKED_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path(PACKED_RANKS), public_tokenizers.PATTERN
+    return packing.pack(_table(spark, sf_dir, "documents"), path, pattern, keep_ids=False).drop("doc_row")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(_table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(hard_negatives.noisy_labels(rows), F.col("vec_id") % 50 == 0)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -76,4 +95,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
+    "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle": op13_merkle,
 }

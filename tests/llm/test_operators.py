@@ -39,7 +39,7 @@ def brute_links(rows, threshold=0.8):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_gives_the_rows_of_its_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{D}/{t}.parquet')")
     df, twin = QUERIES[name](spark, D), con.sql(ORACLES[name])
     put = lambda rows, names: sorted(str([r[names.index(c)] for c in sorted(names)]) for r in rows)
