@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ ARXIV_DOI = "10.48550/arxiv."
 FORMS = "inc corp corporation co ltd llc plc ag sa gmbh company limited holdings group".split()
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once, however often `use` names it, also within the functions of arrays that it holds."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def references(text: Column) -> Column:
     """Distinct kind:value identifiers of a text, sorted: each kind in one spelling, arXiv DOIs as arXiv ids."""
     found = {kind: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1) for kind, pattern in REFS.items()}
@@ -77,8 +84,8 @@ def party_words(name: Column) -> Column:
     low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s*[(\[][^)\]]*[)\]]", " ")
     words = F.filter(F.split(low, r"[\s,.'’`\"&!?/:;·_-]+"), lambda w: w != "")
     words = F.transform(words, lambda w: F.when(w == "bros", "brothers").otherwise(w))
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i == 1) | ~F.coalesce(F.get(words, i - 1), F.lit("")).isin(FORMS))
-    return F.when(F.size(words) > 0, F.slice(words, F.lit(1), F.array_max(ends))).otherwise(words)
+    ends = lambda own: F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: (i == 1) | ~F.coalesce(F.get(own, i - 1), F.lit("")).isin(FORMS))
+    return bound(words, lambda own: F.when(F.size(own) > 0, F.slice(own, F.lit(1), F.array_max(ends(own)))).otherwise(own))
 
 
 def same_party(a: Column, b: Column) -> Column:
@@ -90,10 +97,20 @@ def same_party(a: Column, b: Column) -> Column:
 
 
 def char_shingles(text: Column, size: int = 3) -> Column:
-    """Distinct runs of `size` letters, digits and underscores of a lower-cased text, all else removed; a shorter text is one run."""
+    """Distinct runs of `size` letters, digits and underscores of a lower-cased text, all else removed; a shorter text is one run.
+
+    Takes time in proportion to the text: its characters are an array, and runs are that array beside itself, shifted.
+    """
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(bare) - size + 1, F.lit(1)))
-    return F.when(bare != "", F.array_distinct(F.transform(starts, lambda i: F.substring(bare, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+    def runs(chars: Column) -> Column:
+        made = chars
+        for shift in range(1, size):
+            made = F.zip_with(made, F.slice(chars, F.lit(shift + 1), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+        short = F.filter(F.array(F.array_join(chars, "")), lambda x: x != "")
+        return F.when(F.size(chars) < size, short).otherwise(F.array_distinct(F.slice(made, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(1)))))
+
+    return bound(F.regexp_extract_all(bare, F.lit("(?s)(.)"), 1), runs)
 
 
 #: Prime of the hash family, hashes in a signature, and rows in a band.
@@ -105,7 +122,8 @@ def minhash(shingles: Column) -> Column:
     """The least value of each hash (a * x + b) mod PRIME over a set of shingles, x being 60 bits of MD5; empty for none."""
     base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % PRIME)
     family = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in FAMILY])
-    return F.when(F.size(shingles) > 0, F.transform(family, lambda h: F.array_min(F.transform(base, lambda x: (x * h["a"] + h["b"]) % PRIME)))).otherwise(F.array().cast("array<bigint>"))
+    least = lambda own: F.transform(family, lambda h: F.array_min(F.transform(own, lambda x: (x * h["a"] + h["b"]) % PRIME)))
+    return bound(base, lambda own: F.when(F.size(own) > 0, least(own)).otherwise(F.array().cast("array<bigint>")))
 
 
 def bands(signature: Column) -> Column:

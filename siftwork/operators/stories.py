@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import refs
 from siftwork.operators.graph import components
+from siftwork.sources.shared import spill
 
 #: Characters from which a text and a title stand for a story, of a lead, and of the title that a body may open with. Fixed values.
 LEAST_TEXT, LEAST_TITLE, LEAD, OPENING = 40, 30, 120, 60
@@ -51,23 +52,27 @@ def duplicate_roots(keys: DataFrame) -> DataFrame:
     return found.select("item_id", F.coalesce(text, title).alias("root"), F.when(text.isNotNull(), "text").when(title.isNotNull(), "title").alias("matched_by"))
 
 
-def banded_titles(posts: DataFrame) -> DataFrame:
-    """(item_id, sig, band): one row for each band of the title's signature, of one post for each distinct title (the first)."""
+def signed_titles(posts: DataFrame) -> DataFrame:
+    """(item_id, title, sig): the first post of each distinct title, with the title's signature."""
     first = posts.where("title <> ''").groupBy("title").agg(F.min("item_id").alias("item_id"))
-    signed = first.select("item_id", refs.minhash(refs.char_shingles(F.col("title"))).alias("sig"))
-    return signed.select("item_id", "sig", F.explode(refs.bands(F.col("sig"))).alias("band"))
+    return first.select("item_id", "title", refs.minhash(refs.char_shingles(F.col("title"))).alias("sig")).where("size(sig) > 0")
 
 
 def alike_titles(posts: DataFrame, least: float = 0.45) -> DataFrame:
-    """(item_id, leader, similarity): posts that share a band with an earlier one, whose signature agrees in `least` or more.
+    """(item_id, leader, similarity): each two distinct titles that share a band and whose signatures agree in `least` or more, the later
+    title's first post beside the earlier one's; and each further post of a title beside its first, with 1.
 
-    Of each band only its earliest post is met, so that a band that many titles share costs a row each, not their pairs.
+    So all posts of equal titles are there, without their pairs. Signatures are written once; what a band's join finds is filtered in it, and
+    a hot band can be split by adaptive execution. Empty titles are alike to none; titles without letters only to equal ones.
     """
-    rows = banded_titles(posts)
-    lead = rows.groupBy("band").agg(F.min_by(F.struct("item_id", "sig"), "item_id").alias("lead"))
-    met = rows.join(lead, "band").where(F.col("lead.item_id") < F.col("item_id"))
-    near = met.select("item_id", F.col("lead.item_id").alias("leader"), refs.agreement(F.col("sig"), F.col("lead.sig")).alias("similarity"))
-    return near.where(F.col("similarity") >= least).distinct()
+    signed = spill(signed_titles(posts), "signatures")
+    rows = signed.select("item_id", "sig", F.explode(refs.bands(F.col("sig"))).alias("band"))
+    other = rows.select(F.col("item_id").alias("leader"), F.col("sig").alias("lead_sig"), "band")
+    met = rows.join(other, "band").where((F.col("leader") < F.col("item_id")) & (refs.agreement(F.col("sig"), F.col("lead_sig")) >= least))
+    near = met.select("item_id", "leader", refs.agreement(F.col("sig"), F.col("lead_sig")).alias("similarity")).distinct()
+    firsts = posts.where("title <> ''").groupBy("title").agg(F.min("item_id").alias("leader"))
+    copies = posts.join(firsts, "title").where("leader < item_id").select("item_id", "leader", F.lit(1.0).alias("similarity"))
+    return near.union(copies)
 
 
 def story_clusters(edges: DataFrame) -> DataFrame:

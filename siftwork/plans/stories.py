@@ -56,22 +56,21 @@ _SIGNED = f"""{POSTS}, f AS (SELECT title, min(item_id) AS item_id FROM posts WH
 
 @query("minhash_signatures", f"WITH {_SIGNED} SELECT item_id, md5(array_to_string(sig, ',')) AS digest FROM signed")
 def _(spark, d):
-    first = posts(spark, d).where("title <> ''").groupBy("title").agg(F.min("item_id").alias("item_id"))
-    signed = first.select("item_id", refs.minhash(refs.char_shingles(F.col("title"))).alias("sig")).where("size(sig) > 0")
+    signed = stories.signed_titles(posts(spark, d))
     return signed.select("item_id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",")).alias("digest"))
 
 
 _ALIKE = f"""{_SIGNED}, bands AS (SELECT item_id, sig, i || ':' || array_to_string(sig[i * 4 + 1 : i * 4 + 4], ',') AS band FROM signed, (SELECT unnest(range(0, 16)) AS i)),
-  leads AS (SELECT band, min(item_id) AS leader, arg_min(sig, item_id) AS lsig FROM bands GROUP BY band),
-  alike AS (SELECT DISTINCT item_id, leader, len(list_filter(range(1, 65), lambda i: sig[i] = lsig[i])) / 64.0 AS similarity FROM bands JOIN leads USING (band) WHERE leader < item_id)"""
+  near AS (SELECT DISTINCT b.item_id, l.item_id AS leader, len(list_filter(range(1, 65), lambda i: b.sig[i] = l.sig[i])) / 64.0 AS similarity FROM bands b JOIN bands l ON b.band = l.band AND l.item_id < b.item_id),
+  alike AS (SELECT * FROM near WHERE similarity >= 0.45 UNION ALL SELECT p.item_id, f.item_id, 1.0 FROM posts p JOIN f USING (title) WHERE f.item_id < p.item_id)"""
 
 
-@query("alike_titles", f"WITH {_ALIKE} SELECT * FROM alike WHERE similarity >= 0.45")
+@query("alike_titles", f"WITH {_ALIKE} SELECT * FROM alike")
 def _(spark, d):
     return stories.alike_titles(posts(spark, d))
 
 
-@query("story_clusters", f"""WITH RECURSIVE {_ALIKE}, e AS (SELECT item_id AS a, leader AS b FROM alike WHERE similarity >= 0.45 UNION SELECT leader, item_id FROM alike WHERE similarity >= 0.45),
+@query("story_clusters", f"""WITH RECURSIVE {_ALIKE}, e AS (SELECT item_id AS a, leader AS b FROM alike UNION SELECT leader, item_id FROM alike),
   reach AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.seen = e.a) SELECT node AS item_id, min(seen) AS story FROM reach GROUP BY node""")
 def _(spark, d):
     return stories.story_clusters(stories.alike_titles(posts(spark, d)))
