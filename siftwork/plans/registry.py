@@ -489,4 +489,4 @@ def _(spark, d):
 
 
 # The other modules of queries add themselves.
-from siftwork.plans import archive, digests, signals, stories  # noqa: E402, F401
+from siftwork.plans import archive, clusters, deals as _deals, digests, models, signals, stories  # noqa: E402, F401
