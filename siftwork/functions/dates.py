@@ -14,12 +14,13 @@ FORMATS = ("dd MMM yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "y
 def plausible(told: Column, seen: Column, shift_minutes: Column) -> Column:
     """`told` if it can be an article's time; less the source's offset if it is its wall clock read as UTC; else null.
 
-    Nothing before 1990 or later than a quarter of an hour after it was seen; a bare day (midnight at the source) may be a day ahead.
+    Nothing before 1990 or later than a quarter of an hour after it was seen; a bare day (midnight at the source or in UTC) may be a day ahead.
     """
     minutes = lambda n: F.make_dt_interval(mins=n)
     latest, local = seen + F.expr("INTERVAL 15 MINUTES"), told + minutes(shift_minutes)
     back = told - minutes(shift_minutes)
-    bare_day = (local == F.date_trunc("day", local).cast("timestamp_ntz")) & (told <= seen + F.expr("INTERVAL 1 DAY"))
+    midnight = lambda t: t == F.date_trunc("day", t).cast("timestamp_ntz")
+    bare_day = (midnight(local) | midnight(told)) & (told <= seen + F.expr("INTERVAL 1 DAY"))
     return F.when(told < F.lit("1990-01-01").cast("timestamp_ntz"), None).when((told <= latest) | bare_day, told).when((shift_minutes > 0) & (back <= latest), back)
 
 

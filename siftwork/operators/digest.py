@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.sources.shared import spill
+
 #: Outlets of strong and of weak evidence, and the vendors' share from which it leans on them. Fixed values.
 STRONG, WEAK, VENDOR_HEAVY = 5, 2, 0.5
 
@@ -146,17 +148,17 @@ def alert_changes(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("was").isNull(), "opened").when(F.col("is").isNull(), "closed").otherwise("kept").alias("change"))
 
 
-def paths_of(edges: DataFrame, most_depth: int = 12) -> DataFrame:
-    """edges(node, parent), parent null at a root -> (node, path, depth): ancestors and itself. A node that is its own ancestor has no path.
+def paths_of(edges: DataFrame) -> DataFrame:
+    """edges(node, parent), parent null at a root -> (node, path, depth): ancestors and itself. Nodes that no root leads to (cycles) have no path.
 
-    One join a level with the nodes reached so far; the number of levels is the tree's depth.
+    One join a level with the nodes of the level above, written so that no level is made twice; there are as many as the tree is deep.
     """
-    level = edges.where("parent IS NULL").select("node", F.array("node").alias("path"))
+    level = spill(edges.where("parent IS NULL").select("node", F.array("node").alias("path")), "paths")
     out = level
-    for _ in range(most_depth):
+    while True:
         level = edges.join(level.select(F.col("node").alias("parent"), "path"), "parent").where(~F.array_contains("path", F.col("node")))
-        level = level.select("node", F.concat("path", F.array("node")).alias("path"))
-        out = out.union(level)
+        level = spill(level.select("node", F.concat("path", F.array("node")).alias("path")), "paths")
         if not level.head(1):
             break
+        out = out.union(level)
     return out.select("node", "path", F.size("path").alias("depth"))

@@ -225,11 +225,11 @@ def _(spark, d):
     return own.select("track", "n", F.greatest(300 - F.col("n"), F.lit(0)).alias("missing"), F.round(share, 4).alias("abroad"), (share < 0.4).alias("below"))
 
 
-@query("topic_candidates", f"""WITH {POSTS}, w AS (SELECT DISTINCT item_id, outlet, lower(t[i] || ' ' || t[i + 1]) AS phrase FROM (SELECT item_id, outlet, string_split(title, ' ') AS t, unnest(range(1, 12)) AS i FROM posts) WHERE i < len(t) AND length(t[i]) > 0 AND length(t[i + 1]) > 0)
+@query("topic_candidates", f"""WITH {POSTS}, w AS (SELECT DISTINCT item_id, outlet, lower(t[i] || ' ' || t[i + 1]) AS phrase FROM (SELECT item_id, outlet, string_split(title, ' ') AS t, unnest(range(1, len(string_split(title, ' ')))) AS i FROM posts) WHERE i < len(t) AND length(t[i]) > 0 AND length(t[i + 1]) > 0)
   SELECT phrase, count(*) AS n, count(DISTINCT outlet) AS outlets FROM w GROUP BY phrase HAVING count(*) >= 2""")
 def _(spark, d):
     own = posts(spark, d).select("item_id", "outlet", F.split("title", " ").alias("t"))
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.when((F.coalesce(F.get("t", i - 1), F.lit("")) != "") & (F.coalesce(F.get("t", i), F.lit("")) != ""), F.lower(F.concat(F.get("t", i - 1), F.lit(" "), F.get("t", i)))))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.when((F.coalesce(F.get("t", i - 1), F.lit("")) != "") & (F.coalesce(F.get("t", i), F.lit("")) != ""), F.lower(F.concat(F.get("t", i - 1), F.lit(" "), F.get("t", i)))))
     found = own.select("item_id", "outlet", F.explode(pairs).alias("phrase")).where("phrase IS NOT NULL").distinct()
     return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("outlet").alias("outlets")).where("n >= 2")
 

@@ -161,14 +161,16 @@ def _(spark, d):
     return radar.flows(items(spark, d))
 
 
-@query("day_anomalies", f"""WITH {ITEMS}, c AS (SELECT theme AS key, CAST(occurred_at AS DATE) AS day, count(*) AS n FROM items GROUP BY 1, 2),
+@query("day_anomalies", f"""WITH {ITEMS}, c AS (SELECT CASE WHEN CAST(occurred_at AS DATE) = '2024-01-30' AND k % 3 = 0 THEN 0 ELSE theme END AS key, CAST(occurred_at AS DATE) AS day, count(*) AS n FROM items GROUP BY 1, 2),
   days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM c),
   f AS (SELECT k.key, days.day, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT key FROM c) k CROSS JOIN days LEFT JOIN c ON c.key = k.key AND c.day = days.day),
   l AS (SELECT *, list_filter([lag(n, 7) OVER w, lag(n, 14) OVER w, lag(n, 21) OVER w, lag(n, 28) OVER w], lambda x: x IS NOT NULL) AS h FROM f WINDOW w AS (PARTITION BY key ORDER BY day)),
   m AS (SELECT *, list_avg(h) AS mean FROM l WHERE len(h) = 4), z AS (SELECT *, (n - mean) / sqrt(greatest(mean, 1.0)) AS z FROM m)
   SELECT key, day, n, round(mean, 4) AS mean, round(z, 4) AS z FROM z WHERE z >= 3 AND n >= 2.5 * mean AND n >= 8 ORDER BY z.z DESC, key, day LIMIT 8""")
 def _(spark, d):
-    return radar.day_anomalies(items(spark, d), "theme")
+    # One busy day: a third of what comes then is about theme 0.
+    busy = (F.to_date("occurred_at") == F.lit("2024-01-30").cast("date")) & (F.col("k") % 3 == 0)
+    return radar.day_anomalies(items(spark, d).withColumn("theme", F.when(busy, 0).otherwise(F.col("theme"))), "theme")
 
 
 @query("metric_movers", f"""WITH {ITEMS}, o AS (SELECT source, last(value ORDER BY occurred_at, item_id) AS latest, last(value ORDER BY occurred_at, item_id) FILTER (occurred_at <= '2024-01-20') AS base,
@@ -343,12 +345,12 @@ def _(spark, d):
     return catalog.misfits(table(spark, d, "embeddings"), "label", 5)
 
 
-@query("nearest_vectors", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings ORDER BY vec_id LIMIT 20),
+@query("nearest_vectors", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0),
   s AS (SELECT query_id, vec_id, round({_COS.format("embedding", "query")}, 5) AS similarity FROM embeddings JOIN q ON vec_id <> query_id)
-  SELECT query_id, vec_id, similarity, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS p FROM s) WHERE p <= 5""")
+  SELECT query_id, vec_id, similarity, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS p FROM s) WHERE p <= 10""")
 def _(spark, d):
-    asked = table(spark, d, "embeddings").orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return catalog.nearest(table(spark, d, "embeddings"), asked, 5)
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return catalog.nearest(table(spark, d, "embeddings"), asked, 10)
 
 
 @query("nearest_vectors_every_20th", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0),

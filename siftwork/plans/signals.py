@@ -106,10 +106,10 @@ def _(spark, d):
     return posts(spark, d).where("story IS NOT NULL").groupBy("story").agg(at(F.col("region") == "en").alias("first_en"), at(F.col("region") != "en").alias("first_abroad"), F.count(F.lit(1)).alias("n"))
 
 
-@query("plausible_dates", """WITH x AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 97 % 2880 AS INTEGER)) AS p, TIMESTAMP '2024-01-01 12:00:00' AS seen, CASE WHEN lang = 'en' THEN 0 ELSE 540 END AS shift FROM documents)
-  SELECT doc_id, CASE WHEN p <= seen + INTERVAL 15 MINUTE THEN p WHEN p + to_minutes(shift) = date_trunc('day', p + to_minutes(shift)) AND p <= seen + INTERVAL 1 DAY THEN p WHEN shift > 0 AND p - to_minutes(shift) <= seen + INTERVAL 15 MINUTE THEN p - to_minutes(shift) END AS at FROM x""")
+@query("plausible_dates", """WITH x AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 45 % 2880 AS INTEGER)) AS p, TIMESTAMP '2024-01-01 12:00:00' AS seen, CASE WHEN lang = 'en' THEN 0 ELSE 540 END AS shift FROM documents)
+  SELECT doc_id, CASE WHEN p <= seen + INTERVAL 15 MINUTE THEN p WHEN (p + to_minutes(shift) = date_trunc('day', p + to_minutes(shift)) OR p = date_trunc('day', p)) AND p <= seen + INTERVAL 1 DAY THEN p WHEN shift > 0 AND p - to_minutes(shift) <= seen + INTERVAL 15 MINUTE THEN p - to_minutes(shift) END AS at FROM x""")
 def _(spark, d):
-    told = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 97 % 2880 as int))")
+    told = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 45 % 2880 as int))")
     shift = F.when(F.col("lang") == "en", 0).otherwise(540)
     return table(spark, d, "documents").select("doc_id", dates.plausible(told, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), shift).alias("at"))
 
