@@ -160,17 +160,27 @@ def gains(snapshots: DataFrame, item: str, theme: str, start: str, end: str) ->
 
 
 def signal_candidates(topics: DataFrame, overall: dict[str, Column] | None = None) -> DataFrame:
-    """topics(key, now, mean, z, state, sources, effective, home, research, all_now, base_research, base_all) -> (tone, key, score).
+    """topics(key, now, mean, z, state, sources, effective, home, research, all_now, base_research, base_all, windows, debut, returning) -> (tone, key, score).
 
-    surge: the state says so. cool: falling. thin: rising or surging on few effective sources. gap: several sources, none at
+    `windows` is the number of earlier windows that the base counts are of. new: first told of in this window, or so few times before that its state is new, by several sources. back: told of again after
+    silence in all earlier windows. early: rising, and at least half of it research; the share counts drawn towards that of all. hype: what isn't
+    research is well and significantly above its usual count, while research is not. surge: the state says so. cool: falling. thin: rising or surging on few effective sources. gap: several sources, none at
     home, though the usual share at home makes that unlikely. shift: the share of research fell, by 0.2 and significantly.
     """
-    share = topics.agg((F.sum("home") / F.sum("all_now")).alias("rate"))
+    share = topics.agg((F.sum("home") / F.sum("all_now")).alias("rate"), F.coalesce(F.try_divide(F.sum("research"), F.sum("all_now")), F.lit(0.0)).alias("research_rate"))
     rows = topics.crossJoin(F.broadcast(share))  # one row
     chance = stats.zero_chance(F.col("now"), F.coalesce("rate", F.lit(0.0)))
     drop_z = stats.two_proportion_z(F.col("base_research"), F.col("base_all"), F.col("research"), F.col("all_now"))
     drop = F.try_divide(F.col("base_research"), F.col("base_all")) - F.try_divide(F.col("research"), F.col("all_now"))
+    chatter, usual = F.col("all_now") - F.col("research"), (F.col("base_all") - F.col("base_research")) / F.greatest("windows", F.lit(1))
+    usual_research = F.col("base_research") / F.greatest("windows", F.lit(1))
+    hype_z = stats.rate_z(chatter, usual)
+    state = F.coalesce("state", F.lit(""))
     tones = {
+        "new": (~F.col("returning") & (F.col("sources") >= 2) & ((state == "new") | (F.col("debut") & (state != "falling"))), F.col("now")),
+        "back": (F.col("returning"), F.col("now")),
+        "early": ((F.col("all_now") >= 5) & (F.col("z") >= 1) & (F.try_divide(F.col("research"), F.col("all_now")) >= 0.5), F.col("z") * stats.shrunk_share(F.col("research"), F.col("all_now"), F.col("research_rate"))),
+        "hype": ((chatter >= 5) & (usual > 0) & (chatter >= 1.5 * usual) & (hype_z >= 2) & (stats.rate_z(F.col("research"), usual_research) < 1), hype_z),
         "surge": (F.col("state") == "surging", F.col("z")),
         "cool": (F.col("state") == "falling", -F.col("z")),
         "thin": (F.col("state").isin("surging", "rising") & (F.col("effective") < 2.5), F.col("z")),

@@ -35,17 +35,21 @@ def _(spark, d):
     return radar.gains(items(spark, d), "source", "theme", "2024-01-20", "2024-01-30")
 
 
-_TOPICS = f"""{ITEMS}, w AS (SELECT *, date_diff('day', CAST(occurred_at AS DATE), DATE '2024-01-30') // 3 AS back FROM items), c AS (SELECT k AS key, {", ".join(f"count(*) FILTER (back = {i}) AS c{i}" for i in range(8))},
+#: Patterns that are planted in the items, for each rule to find: topics that are new, come back, are led by research or are all talk.
+PLANTED = """NOT (k % 20 = 9 AND back > 0) AND NOT (k % 20 = 19 AND back BETWEEN 1 AND 7) AND NOT (k % 20 = 5 AND back > 0 AND item_id % 2 = 0 AND track NOT IN ('signup', 'purchase'))
+  AND NOT (k % 20 = 3 AND back > 0 AND item_id % 2 = 0) AND NOT (k % 20 = 3 AND back = 0 AND item_id % 3 <> 0 AND track NOT IN ('signup', 'purchase'))"""
+_TOPICS = f"""{ITEMS}, w AS (SELECT * FROM (SELECT *, date_diff('day', CAST(occurred_at AS DATE), DATE '2024-01-30') // 3 AS back FROM items) WHERE {PLANTED}), b AS (SELECT k AS key, max(back) AS oldest FROM w GROUP BY k), c AS (SELECT k AS key, {", ".join(f"count(*) FILTER (back = {i}) AS c{i}" for i in range(8))},
   count(DISTINCT source) FILTER (back = 0) AS sources, count(*) FILTER (back = 0 AND source % 20 = 0) AS home, count(*) FILTER (back = 0 AND track IN ('signup', 'purchase')) AS research,
   count(*) FILTER (back > 0 AND track IN ('signup', 'purchase')) AS base_research FROM w WHERE back BETWEEN 0 AND 7 GROUP BY 1),
   e AS (SELECT key, power(sum(n), 2) / sum(n * n) AS effective FROM (SELECT k AS key, source, count(*) AS n FROM w WHERE back = 0 GROUP BY 1, 2) GROUP BY key),
   m AS (SELECT c.*, coalesce(effective, 0) AS effective, (c1+c2+c3+c4+c5+c6+c7) / 7.0 AS mean, ({"+".join(f"(c{i}-c{i + 1})*(c{i}-c{i + 1})" for i in range(1, 7))}) / 12.0 AS noise FROM c LEFT JOIN e USING (key)),
-  z AS (SELECT *, c0 AS now, c1+c2+c3+c4+c5+c6+c7 AS base_all, (c0 - mean) / sqrt(greatest(noise, mean, 1.0)) AS z FROM m), topics AS (SELECT *, CASE WHEN c0 >= 3 AND mean = 0 THEN CASE WHEN sources >= 2 THEN 'new' ELSE 'steady' END
-  WHEN c0 >= 3 AND round(z, 2) >= 2 AND c0 >= 1.5 * mean AND sources >= 2 THEN 'surging' WHEN c0 >= 3 AND round(z, 2) >= 1 THEN 'rising' WHEN mean >= 3 AND round(z, 2) <= -1 THEN 'falling' WHEN c0 >= 3 THEN 'steady' END AS state FROM z)"""
+  z AS (SELECT *, c0 AS now, c1+c2+c3+c4+c5+c6+c7 AS base_all, (c0 - mean) / sqrt(greatest(noise, mean, 1.0)) AS z FROM m), topics AS (SELECT z.*, oldest = 0 AS debut, oldest > 0 AND base_all = 0 AND now > 0 AS "returning", CASE WHEN c0 >= 3 AND mean = 0 THEN CASE WHEN sources >= 2 THEN 'new' ELSE 'steady' END
+  WHEN c0 >= 3 AND round(z, 2) >= 2 AND c0 >= 1.5 * mean AND sources >= 2 THEN 'surging' WHEN c0 >= 3 AND round(z, 2) >= 1 THEN 'rising' WHEN mean >= 3 AND round(z, 2) <= -1 THEN 'falling' WHEN c0 >= 3 THEN 'steady' END AS state FROM z JOIN b USING (key))"""
 
 
 def _topics(spark, d):
-    own = items(spark, d).withColumn("back", radar.window_of("occurred_at", END, 3, 8)).where("back IS NOT NULL")
+    every = items(spark, d).withColumn("back", F.floor(F.datediff(F.lit("2024-01-30").cast("date"), F.to_date("occurred_at")) / 3)).where(PLANTED)
+    own = every.where("back BETWEEN 0 AND 7")
     now, research = F.col("back") == 0, F.col("track").isin("signup", "purchase")
     counts = [F.count_if(F.col("back") == i).alias(f"c{i}") for i in range(8)]
     found = own.groupBy(F.col("k").alias("key")).agg(
@@ -56,15 +60,21 @@ def _topics(spark, d):
     effective = by_source.groupBy("key").agg((F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("effective"))
     history = F.array(*[F.col(f"c{i}").cast("double") for i in range(7, 0, -1)])
     z = stats.count_z(F.col("c0"), F.col("history"))
-    found = found.join(effective, "key", "left").withColumn("history", history).withColumns({"z": z, "mean": stats.mean_of(F.col("history")), "effective": F.coalesce("effective", F.lit(0.0))})
+    oldest = every.groupBy(F.col("k").alias("key")).agg(F.max("back").alias("oldest"))
+    found = found.join(effective, "key", "left").join(oldest, "key").withColumn("history", history).withColumns({"z": z, "mean": stats.mean_of(F.col("history")), "effective": F.coalesce("effective", F.lit(0.0))})
+    base = sum([F.col(f"c{i}") for i in range(2, 8)], F.col("c1"))
     state = stats.lifecycle(F.col("c0"), F.col("history"), F.round("z", 2), F.col("sources"))
-    return found.withColumns({"state": state, "now": F.col("c0"), "all_now": F.col("c0"), "base_all": sum([F.col(f"c{i}") for i in range(2, 8)], F.col("c1"))})
+    return found.withColumns({"state": state, "now": F.col("c0"), "all_now": F.col("c0"), "base_all": base, "windows": F.lit(7), "debut": F.col("oldest") == 0, "returning": (F.col("oldest") > 0) & (base == 0) & (F.col("c0") > 0)})
 
 
-@query("signal_candidates", f"""WITH {_TOPICS}, t AS (SELECT *, (SELECT sum(home) / sum(now) FROM topics) AS rate, (base_research + research) / (base_all + now) AS pooled FROM topics),
-  u AS (SELECT *, CASE WHEN base_all > 0 AND now > 0 AND pooled > 0 AND pooled < 1 THEN (base_research / base_all - research / now) / sqrt(pooled * (1 - pooled) * (1 / base_all + 1 / now)) ELSE 0 END AS drop_z, base_research / base_all - research / now AS dropped FROM t)
+@query("signal_candidates", f"""WITH {_TOPICS}, t AS (SELECT *, (SELECT sum(home) / sum(now) FROM topics) AS rate, (SELECT sum(research) / sum(now) FROM topics) AS research_rate, (base_research + research) / (base_all + now) AS pooled FROM topics),
+  u AS (SELECT *, CASE WHEN base_all > 0 AND now > 0 AND pooled > 0 AND pooled < 1 THEN (base_research / base_all - research / now) / sqrt(pooled * (1 - pooled) * (1 / base_all + 1 / now)) ELSE 0 END AS drop_z, base_research / nullif(base_all, 0) - research / nullif(now, 0) AS dropped, now - research AS chatter, (base_all - base_research) / 7.0 AS usual, base_research / 7.0 AS usual_research FROM t)
   SELECT 'surge' AS tone, key, round(z, 4) AS score FROM u WHERE state = 'surging' UNION ALL SELECT 'cool', key, round(-z, 4) FROM u WHERE state = 'falling'
   UNION ALL SELECT 'thin', key, round(z, 4) FROM u WHERE state IN ('surging', 'rising') AND effective < 2.5
+  UNION ALL SELECT 'new', key, CAST(now AS DOUBLE) FROM u WHERE NOT "returning" AND sources >= 2 AND (state = 'new' OR (debut AND coalesce(state, '') <> 'falling'))
+  UNION ALL SELECT 'back', key, CAST(now AS DOUBLE) FROM u WHERE "returning"
+  UNION ALL SELECT 'early', key, round(z * (research + 10 * research_rate) / (now + 10), 4) FROM u WHERE now >= 5 AND z >= 1 AND research / now >= 0.5
+  UNION ALL SELECT 'hype', key, round((chatter - usual) / sqrt(greatest(usual, 1.0)), 4) FROM u WHERE chatter >= 5 AND usual > 0 AND chatter >= 1.5 * usual AND (chatter - usual) / sqrt(greatest(usual, 1.0)) >= 2 AND (research - usual_research) / sqrt(greatest(usual_research, 1.0)) < 1
   UNION ALL SELECT 'gap', key, CAST(now AS DOUBLE) FROM u WHERE coalesce(state, '') <> 'falling' AND sources >= 2 AND home = 0 AND power(1 - least(greatest(rate, 0), 1), now) <= 0.05
   UNION ALL SELECT 'shift', key, round(drop_z, 4) FROM u WHERE now >= 5 AND base_all > 0 AND dropped >= 0.2 AND drop_z >= 2""")
 def _(spark, d):
