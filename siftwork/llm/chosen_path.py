@@ -10,7 +10,7 @@ force; larger ones split again. Runs are repeated until a pair at the threshold
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -274,21 +274,31 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + total
 
 
-def _shingled(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """members(..., id, text_hash) -> the same rows with `own`, the shingles of the text, in place of id and text_hash."""
+def _texts_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """members(..., id, text_hash) -> the same rows with `text` in place of id and text_hash."""
     texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(text_col).alias("text"))
     rows = texts.join(small_side(members), F.col("own_hash").eqNullSafe(F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("id")))
-    keys = [c for c in members.columns if c not in ("id", "text_hash")]
-    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.select(*[c for c in members.columns if c not in ("id", "text_hash")], "text")
+
+
+def _with_sets(rows: DataFrame, words: int, kept: list[str], tell: Callable[[pa.RecordBatch, list[np.ndarray]], pa.Array], told: str, kind: str) -> DataFrame:
+    """rows(..., text) -> the columns `kept` and `told`, which `tell` gives for the shingles of up to 500 texts."""
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                sets = [s.tobytes() for s in shingle_sets(part.column(len(keys)), words)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*keys, "own"])
+                out = tell(part, list(shingle_sets(part.column("text"), words)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], out], [*kept, told])
+
+    return rows.mapInArrow(run, f"{schema}, {told} {kind}")
 
-    return rows.select(*keys, "text").mapInArrow(run, f"{schema}, own binary")
+
+def _shingled(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """members(..., id, text_hash) -> the same rows with `own`, the shingles of the text, in place of id and text_hash."""
+    rows = _texts_of(members, docs, id_col, text_col)
+    return _with_sets(rows, words, rows.columns[:-1], lambda part, sets: pa.array([s.tobytes() for s in sets], pa.binary()), "own", "binary")
 
 
 def _ringed(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -296,19 +306,19 @@ def _ringed(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     large = members.where("blocks > 1")
     first = large.groupBy("root").agg(F.min_by(F.struct("d", "id", "text_hash"), "d").alias("x")).select("root", "x.d", "x.id", "x.text_hash")
     first = spill(_shingled(first, docs, id_col, text_col, words).groupBy("root", "d").agg(F.first("own").alias("core")), "pivots")
-    own = _shingled(large.select("root", "d", "id", "text_hash"), docs, id_col, text_col, words)
-    rows = own.join(small_side(first.select("root", F.col("d").alias("pivot"), "core"), PIVOT_ROWS), "root").select("root", "pivot", "d", "own", "core")
+    texts = _texts_of(large.select("root", "d", "id", "text_hash"), docs, id_col, text_col)
+    rows = texts.join(small_side(first.select("root", F.col("d").alias("pivot"), "core"), PIVOT_ROWS), "root").select("root", "pivot", "d", "core", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, True))
-                far.append(1 - shared / (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.float64())], ["root", "pivot", "d", "far"])
+    def far(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.Array:
+        out = []
+        for x, core in zip(sets, part.column("core"), strict=True):
+            y = np.frombuffer(core.as_py(), np.uint64)
+            shared = len(np.intersect1d(x, y, True))
+            out.append(1 - shared / (len(x) + len(y) - shared))
+        return pa.array(out, pa.float64())
 
-    return spill(rows.mapInArrow(run, "root long, pivot long, d long, far double").distinct(), "rings")
+    # Shingles and distances come from one function: a task needs one Python worker, not two.
+    return spill(_with_sets(rows, words, ["root", "pivot", "d"], far, "far", "double").distinct(), "rings")
 
 
 def _exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
@@ -379,7 +389,7 @@ def similarity_classes(
         F.first("n").alias("n"),
     )
     reps = spill(reps.select("d", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), "copies", "sig", "n"), "sets")
-    found = components(candidate_edges(reps, threshold, recall))
+    found = components(spill(candidate_edges(reps, threshold, recall), "candidates"))
     members = spill(found.join(reps.drop("sig"), found["node"] == reps["d"]).select("root", "d", "id", "text_hash", "copies", "n"), "members")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(blocks, "root").select("root", "blocks", "d", "id", "text_hash", "copies", "n")
