@@ -8,9 +8,9 @@ from siftwork.llm import bpe, chosen_path, decontaminate, exact_dedup, toxicity
 from siftwork.llm.queries import tokenizer
 from siftwork.llm.shared import spill
 
-#: Bytes of an Arrow batch between an executor and its Python workers, each of which holds a batch or two: a quarter of Spark's default, as all
+#: Bytes of an Arrow batch between an executor and its Python workers, each of which holds a batch or two: an eighth of Spark's default, as all
 #: stages share an executor's memory, and workers that wait keep what they took.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _bounded(spark: SparkSession) -> None:
