@@ -41,7 +41,7 @@ def duplicate_roots(keys: DataFrame) -> DataFrame:
     are an equi-join on its key; as only the least one counts, each is a least id over the key, so that no group's pairs arise.
     """
     open_ended = F.col("lead_key").isNull() | F.col("lead_title")
-    own = keys.withColumn("open", open_ended)
+    own = spill(keys.withColumn("open", open_ended), "keys")  # the texts are read for them once
     by_text = own.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("item_id").alias("text_root"))
     by_title = own.where("title_key IS NOT NULL").groupBy("title_key").agg(F.min("item_id").alias("any_root"), F.min(F.when(F.col("open"), F.col("item_id"))).alias("open_root"))
     by_lead = own.where("title_key IS NOT NULL AND lead_key IS NOT NULL").groupBy("title_key", "lead_key").agg(F.min("item_id").alias("lead_root"))
