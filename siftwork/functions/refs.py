@@ -24,7 +24,9 @@ RESERVED = {
 }
 ARXIV_DOI = "10.48550/arxiv."
 #: Words at the end of a company's name that say only its legal form. Fixed values.
-FORMS = "inc corp corporation co ltd llc plc ag sa gmbh company limited holdings group".split()
+FORMS = "inc incorporated corp corporation co company ltd limited llc plc gmbh ag sa nv bv holding holdings group".split()
+#: Korean words of the same kind, and spellings of one loanword. Fixed values.
+KOREAN_FORMS, KOREAN_VARIANTS = r"\(주\)|㈜|주식회사|(?<=\S)(그룹|홀딩스)$", {"브러더스": "브라더스"}
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,7 +83,10 @@ def model_name(name: Column) -> Column:
 
 def party_words(name: Column) -> Column:
     """A party's name as comparable words: lower case, no parentheses or punctuation, no legal forms at the end, bros as brothers."""
-    low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s*[(\[][^)\]]*[)\]]", " ")
+    low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s*[(\[（][^)\]）]*[)\]）]", " ")
+    low = F.regexp_replace(F.trim(low), KOREAN_FORMS, "")
+    for variant, usual in KOREAN_VARIANTS.items():
+        low = F.replace(low, F.lit(variant), F.lit(usual))
     words = F.filter(F.split(low, r"[\s,.'’`\"&!?/:;·_-]+"), lambda w: w != "")
     words = F.transform(words, lambda w: F.when(w == "bros", "brothers").otherwise(w))
     ends = lambda own: F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: (i == 1) | ~F.coalesce(F.get(own, i - 1), F.lit("")).isin(FORMS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.functions import refs
+from siftwork.functions import money, refs
 from siftwork.operators import deals
 from siftwork.plans.registry import query
 from siftwork.sources.adapters import table
@@ -65,3 +65,25 @@ def _closed(name: str, edges: str) -> str:
   SELECT id AS deal_id, first_value(id) OVER (PARTITION BY grp ORDER BY CASE WHEN actor <> '{deals.UNDISCLOSED}' AND amount_usd IS NOT NULL THEN 0 WHEN actor <> '{deals.UNDISCLOSED}' THEN 1 ELSE 2 END, announced_on NULLS FIRST, id) AS lead_id, count(*) OVER (PARTITION BY grp) AS reports FROM m""")
 def _(spark, d):
     return deals.deduped(reports(spark, d))
+
+
+#: Spellings of rounds, and what each is. Fixed values.
+ROUNDS = {
+    "Series B": "시리즈 B", "시리즈B": "시리즈 B", "B라운드": "시리즈 B", "시리즈 C-2": "시리즈 C-2", "시리즈 A 브릿지": "시리즈 A 브릿지", "시리즈 F (IPO 전)": "시리즈 F", "Pre-A+": "프리 시리즈 A+", "시리즈 프리A": "프리 시리즈 A",
+    "Seed": "시드", "Pre-seed": "프리시드", "Angel Round": "엔젤", "업무협약(MOU)": "MOU", "시리즈 B (추정)": None, "미상": None,
+}
+
+
+@query("deal_stages", f"""SELECT [{", ".join(f"'{r}'" if r else "NULL" for r in ROUNDS.values())}][o_orderkey % {len(ROUNDS)} + 1] AS stage, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1""")
+def _(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, ROUNDS)), (F.col("o_orderkey") % len(ROUNDS) + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", money.stage(raw).alias("stage"))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
+
+
+@query("stated_sums", """SELECT o_orderkey, unnest([struct_pack(v := o_custkey * 1e8 + o_orderkey % 1000 * 1e4, c := 'USD'), struct_pack(v := o_orderkey * 1e6, c := 'EUR')], recursive := true) FROM orders""".replace("v :=", "value :=").replace("c :=", "currency :="))
+def _(spark, d):
+    """Sums of a line for each order, in Korean and in English."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = F.concat(c, F.lit("억 "), (k % 1000).cast("string"), F.lit("만 달러를 투자하고 €"), F.format_number(k, 0), F.lit(" million"))
+    return table(spark, d, "orders").select("o_orderkey", F.inline(money.stated(line)))

@@ -8,7 +8,7 @@ import re
 import pytest
 from siftwork.operators import deals
 
-FORMS = "inc corp corporation co ltd llc plc ag sa gmbh company limited holdings group".split()
+FORMS = "inc incorporated corp corporation co company ltd limited llc plc gmbh ag sa nv bv holding holdings group".split()
 SCHEMA = "deal_id long, kind string, actor string, actor_key string, counterparty string, counterparty_key string, amount_usd double, announced_on date, id string"
 
 
@@ -131,3 +131,16 @@ def test_spellings_sizes_days_and_unsized_reports(spark):
     assert sorted((i, *x) for i, x in found.items()) == brute(rows)
     assert found[0] == found[1] == (0, 2) and found[2] == found[6] == (2, 2) and found[7] == (7, 1) and found[8] == found[9]
     assert deals.deduped(df.where("false")).count() == 0
+
+
+SPELLINGS = [
+    ("Warner Bros. Discovery", "Warner Bros Discovery", True), ("Warner", "Warner Bros. Discovery", True), ("Paramount Inc.", "Paramount", True), ("Character.AI", "Character.ai", True), ("TypeSafe", "TypeSafe AI", True),
+    ("워너 브라더스", "워너브러더스 디스커버리", True), ("(주)인텔리빅스", "인텔리빅스", True), ("Meta", "Metaplanet", False), ("Arm", "Armada", False), ("Paramount", "파라마운트", False), ("", "", False), (None, "x", False),
+]
+
+
+def test_party_spellings(spark):
+    df = spark.createDataFrame([(i, a, b, None) for i, (a, b, _) in enumerate(SPELLINGS)], "i int, a string, b string, k string")
+    party = lambda c: deals._party(deals.F.col(c), deals.F.col("k"))
+    rows = df.select("i", party("a").alias("x"), party("b").alias("y")).select("i", deals._match(deals.F.col("x"), deals.F.col("y")).alias("same")).collect()
+    assert {r.i: r.same for r in rows} == {i: same for i, (_, _, same) in enumerate(SPELLINGS)}
