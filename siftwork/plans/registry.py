@@ -491,4 +491,4 @@ def _(spark, d):
 
 
 # The other modules of queries add themselves.
-from siftwork.plans import archive, clusters, deals as _deals, digests, models, refresh, signals, states, stories, taxonomy  # noqa: E402, F401
+from siftwork.plans import archive, clusters, deals as _deals, digests, models, refresh, sections, signals, states, stories, taxonomy  # noqa: E402, F401
