@@ -3,8 +3,9 @@
 Nodes of the field are number-like and address-like runs of a text. Neighbours share a chain potential; runs with
 the same letters and digits, or the same last seven digits, share a skip potential however far apart they are, each
 through one hub variable for each such key, so that n repeats cost n edges. Matches of the patterns are observed;
-loopy message passing gives the other nodes' labels. All potentials are smoothed counts over all documents
-(piecewise training): label by shape of the run, label pairs of neighbours, label pairs of equal keys.
+loopy message passing gives the other nodes' labels. The potentials are smoothed counts over all documents
+(piecewise training): label by shape of the run, label pairs of neighbours, label pairs of equal keys. Three of
+them are then set by hand: a floor of the odds of unmatched runs, extra counts for equal keys, half the weight of the chain.
 """
 
 from __future__ import annotations
