@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (node, root): the least node of its component, for each node with an edge to another.
 
     Each round is two joins on a node, written to the shared folder; they go on until nothing changes, about the logarithm
@@ -28,11 +28,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     edges = spill(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         edges = spill(_small_star(_large_star(edges)), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
             return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
         mark = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -396,7 +396,8 @@ def _(spark, d):
 
 @query("value_percentiles", f"WITH {ITEMS} SELECT track, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM items GROUP BY track")
 def _(spark, d):
-    return items(spark, d).groupBy("track").agg(F.round(F.expr("percentile(value, 0.5)"), 4).alias("p50"), F.round(F.expr("percentile(value, 0.95)"), 4).alias("p95"))
+    counted = items(spark, d).groupBy("track", "value").agg(F.count(F.lit(1)).alias("n"))  # so that a track's task holds distinct values only
+    return counted.groupBy("track").agg(F.round(F.expr("percentile(value, 0.5, n)"), 4).alias("p50"), F.round(F.expr("percentile(value, 0.95, n)"), 4).alias("p95"))
 
 
 @query("most_frequent_field", f"""WITH {ITEMS} SELECT theme, track, n FROM (SELECT theme, track, count(*) AS n, row_number() OVER (PARTITION BY theme ORDER BY count(*) DESC, track) AS p FROM items GROUP BY 1, 2) WHERE p = 1""")
