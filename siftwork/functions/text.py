@@ -66,6 +66,10 @@ def placeholder(text: Column) -> Column:
     return F.coalesce(bare.rlike(r"^[\p{P}\p{S}\s]*$") | bare.rlike("^[A-Za-z0-9_.-]+$") | bare.rlike(r"^(#[^\s#]+\s*)+$"), F.lit(True))
 
 
+#: A title's head and the tail that may be a site's name. Fixed value.
+TAILED = r"^(.+?)\s+(?:\||-|–|—|:|::|·)\s+([^|:–—·-]{2,40})$"
+
+
 def without_site(title: Column) -> Column:
     """A page's title without the site's name after the last bar or dash."""
     return F.trim(F.regexp_replace(title, r"\s+[|–—-]\s+[^|–—-]{1,40}$", ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.functions import text
+
 
 def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The row of each key with the highest version, and how many versions there are; one aggregate, no sort of a key's rows."""
@@ -89,6 +91,17 @@ def linked_names(rows: DataFrame, raw: str, names: DataFrame) -> DataFrame:
     return counts.join(names, F.col("fold") == F.col("alias"), "left").select("raw", "n", "name")
 
 
+def without_shared_tails(rows: DataFrame, title: str, *within: str) -> DataFrame:
+    """`rows`, titles without the tail after their last bar, dash or colon where two or more rows share it (among rows of the same columns `within`, if given).
+
+    Tails are counted in one aggregate and joined back; a tail that one title alone has is part of it. Null titles stay null.
+    """
+    found = rows.withColumn("tail", F.when(F.col(title).rlike(text.TAILED), F.regexp_extract(title, text.TAILED, 2)))
+    shared = found.where("tail IS NOT NULL").groupBy("tail", *within).agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
+    joined = found.join(shared, ["tail", *within], "left")
+    return joined.withColumn(title, F.when(F.col("sharers").isNotNull(), F.trim(F.regexp_extract(title, text.TAILED, 1))).otherwise(F.col(title))).select(*rows.columns)
+
+
 def throttled(rows: DataFrame, key: str, at: str, value: str, seconds: int) -> DataFrame:
     """Readings that are recorded: a key's first, and each that differs from the last recorded one and comes `seconds` or more after it.
 

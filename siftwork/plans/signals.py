@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.functions import dates, stats, text
-from siftwork.operators import radar
+from siftwork.operators import archive, radar
 from siftwork.plans.registry import END, ITEMS, query
 from siftwork.plans.stories import POSTS
 from siftwork.sources.adapters import items, posts, table
@@ -146,6 +146,19 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.without_site(text.page_title(F.col("html"))).alias("title"))
 
 
+_TAILED = r"^(.+?)\s+(?:\||-|–|—|:|::|·)\s+([^|:–—·-]{2,40})$"
+
+
+@query("titles_without_shared_tails", rf"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') || CASE page_id % 4 WHEN 0 THEN ' | Daily ' || page_id % 5 WHEN 1 THEN ' - Part ' || page_id WHEN 2 THEN ' : Daily ' || page_id % 5 ELSE '' END AS title FROM pages),
+  t AS (SELECT *, CASE WHEN regexp_matches(title, '{_TAILED}') THEN regexp_extract(title, '{_TAILED}', 2) END AS tail FROM p), n AS (SELECT tail, count(*) AS n FROM t WHERE tail IS NOT NULL GROUP BY 1)
+  SELECT page_id, CASE WHEN n > 1 THEN trim(regexp_extract(title, '{_TAILED}', 1), ' ') ELSE title END AS title FROM t LEFT JOIN n USING (tail)""")
+def _(spark, d):
+    """Titles with a site's name after them, or with a part's number, which is nobody else's."""
+    k = F.col("page_id")
+    end = F.when(k % 4 == 0, F.concat(F.lit(" | Daily "), (k % 5).cast("string"))).when(k % 4 == 1, F.concat(F.lit(" - Part "), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit(" : Daily "), (k % 5).cast("string"))).otherwise("")
+    return archive.without_shared_tails(table(spark, d, "pages").select("page_id", F.concat(text.page_title(F.col("html")), end).alias("title")), "title")
+
+
 @query("placeholder_texts", r"SELECT doc_id, coalesce(regexp_matches(trim(text, ' '), '^[\p{P}\p{S}\s]*$') OR regexp_matches(trim(text, ' '), '^[A-Za-z0-9_.-]+$') OR regexp_matches(trim(text, ' '), '^(#[^\s#]+\s*)+$'), true) AS placeholder FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.placeholder(F.col("text")).alias("placeholder"))
