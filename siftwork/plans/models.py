@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.operators import models, neighbours, selection
+from siftwork.operators import matching, models, neighbours, selection
 from siftwork.plans.registry import query
 from siftwork.sources.adapters import posts, table
 
@@ -40,3 +40,12 @@ def _(spark, d):
 @query("leader_clusters")
 def _(spark, d):
     return neighbours.leader_clusters(neighbours.title_vectors(posts(spark, d)).select("item_id", "v", F.length("title").alias("weight")))
+
+
+@query("titles_of_one_work")
+def _(spark, d):
+    """Each two posts of a story (four at most) whose titles are of one work."""
+    own = matching.keyed(posts(spark, d).where("story IS NOT NULL").select("item_id", "story", "title"), "title", "a")
+    other = own.select(F.col("item_id").alias("other"), "story", F.col("a").alias("b"))
+    pairs = own.join(other, "story").where("item_id < other").select("item_id", "other", "a", "b")
+    return matching.matched(pairs).select("item_id", "other", F.round("ratio", 6).alias("ratio"))
