@@ -76,6 +76,7 @@ def refreshed_roots(before: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     Items that were touched lose their roots. Their candidates, all that share a key with them, are looked through again; all others keep what they had, items that
     are gone go.
     """
+    old, new = spill(old, "keys"), spill(new, "keys")  # keys are made of whole texts: once
     again = small_side(spill(touched(old, new), "touched"))
     asked = new.join(again, "item_id", "left_semi")
     near = None
@@ -89,6 +90,12 @@ def refreshed_roots(before: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     return kept.select("item_id", "root", "matched_by").union(redone)
 
 
+def refreshed_keys(old: DataFrame, posts: DataFrame, edited: DataFrame) -> DataFrame:
+    """What stories.dedup_keys gives for `posts`, from the keys `old` of the posts before: those of edited(item_id), new ones among them, are made anew, of the others kept."""
+    kept = old.join(edited.select("item_id"), "item_id", "left_anti")
+    return kept.unionByName(stories.dedup_keys(posts.join(edited.select("item_id").distinct(), "item_id", "left_semi")))
+
+
 def dependents(roots: DataFrame, changed: DataFrame) -> DataFrame:
     """(item_id): the changed items and all whose chain of roots leads through one of them; a join for each step of the longest chain."""
     reached = spill(changed.select("item_id").distinct(), "reached")

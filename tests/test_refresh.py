@@ -63,3 +63,21 @@ def test_roots_after_edits_are_those_of_a_full_run(spark):
     assert {r.item_id for r in refresh.touched(old, one).collect()} == {700}
     roots = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (6, 5), (7, 4)], "item_id long, root long")
     assert {r.item_id for r in refresh.dependents(roots, spark.createDataFrame([(3,)], "item_id long")).collect()} == {3, 4, 7}
+
+
+def test_keys_are_made_once_and_only_of_edited_posts(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    counted = F.udf(count, "string").asNondeterministic()
+    posts = spark.createDataFrame([(i, "A long headline about chips and memory prices", f"body of {i % 7} that says much about them") for i in range(40)], "item_id long, title string, text string")
+    old = stories.dedup_keys(posts).localCheckpoint()
+    after = posts.withColumn("text", F.when(F.col("item_id") % 10 == 0, F.substring("text", 1, 9)).otherwise(F.col("text")))
+    whole = stories.dedup_keys(after).withColumn("text_key", counted("text_key"))
+    found = refresh.refreshed_roots(stories.duplicate_roots(old), old, whole)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stories.duplicate_roots(stories.dedup_keys(after)).collect())) and made.value == 40
+    part = refresh.refreshed_keys(old, after, after.select("item_id").where("item_id % 10 = 0"))
+    assert sorted(map(tuple, part.collect()), key=str) == sorted(map(tuple, stories.dedup_keys(after).collect()), key=str)
