@@ -153,6 +153,7 @@ def paths_of(edges: DataFrame) -> DataFrame:
 
     One join a level with the nodes of the level above, written so that no level is made twice; there are as many as the tree is deep.
     """
+    edges = spill(edges.select("node", "parent"), "edges")  # each level reads them: what they are made of runs once
     level = spill(edges.where("parent IS NULL").select("node", F.array("node").alias("path")), "paths")
     out = level
     while True:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.operators import taxonomy
 from siftwork.plans.registry import query
 from siftwork.sources.adapters import table
+from siftwork.sources.shared import spill
 
 
 def edits(spark, d):
@@ -28,6 +29,6 @@ def edits(spark, d):
 
 @query("taxonomy_after_edits")
 def _(spark, d):
-    nodes = taxonomy.snapshot(taxonomy.histories(edits(spark, d)))
+    nodes = spill(taxonomy.snapshot(taxonomy.histories(edits(spark, d))), "nodes")  # the edits are replayed once
     found = taxonomy.paths(nodes).select("scheme", "node", F.array_join("path", "/").alias("path"))
     return nodes.join(found, ["scheme", "node"], "left")

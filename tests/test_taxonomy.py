@@ -91,3 +91,18 @@ def test_labels_follow_and_previews_count(spark, log):
     asked = spark.createDataFrame([("x", "n0"), ("y", "n3"), ("x", "none")], "scheme string, node string")
     found = {(r.scheme, r.node): r["items"] for r in taxonomy.affected(after, tree, asked).collect()}
     assert found == {(s, n): len({i for i, t, m in want if t == s and n in below.get((t, m), ())}) for s, n in (("x", "n0"), ("y", "n3"), ("x", "none"))}
+
+
+def test_paths_read_their_edges_once(spark):
+    from pyspark.sql import functions as F
+    from siftwork.operators import digest
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        read.add(1)
+        return x
+
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c")], "node string, parent string")
+    found = digest.paths_of(edges.select(F.udf(count, "string").asNondeterministic()("node").alias("node"), "parent"))
+    assert {(r.node, r.depth) for r in found.collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 4)} and read.value == 4
