@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import refs
 from siftwork.operators.graph import components
-from siftwork.sources.shared import spill
+from siftwork.sources.shared import small_side, spill
 
 #: Characters from which a text and a title stand for a story, of a lead, and of the title that a body may open with. Fixed values.
 LEAST_TEXT, LEAST_TITLE, LEAD, OPENING = 40, 30, 120, 60
@@ -81,11 +81,18 @@ def story_clusters(edges: DataFrame) -> DataFrame:
 
 
 def reference_groups(rows: DataFrame, id_col: str, refs_col: str) -> DataFrame:
-    """(id, group): rows that identifiers hold together, each named by the least id; a hot identifier adds one edge a row."""
-    held = rows.select(F.col(id_col).alias("id"), F.explode(refs_col).alias("ref"))
-    first = held.groupBy("ref").agg(F.min("id").alias("b"))
-    edges = held.join(first, "ref").select(F.col("id").alias("a"), "b")
-    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("group"))
+    """(id, group): rows that identifiers hold together, each named by the least id; a hot identifier adds one edge a row.
+
+    Identifiers are found once. The least rows of a row's identifiers are linked to the least of them, so that components are made of the distinct links
+    of those alone; all other rows take the group of their least one.
+    """
+    held = spill(rows.select(F.col(id_col).alias("id"), F.explode(refs_col).alias("ref")), "refs")
+    first = spill(held.groupBy("ref").agg(F.min("id").alias("b")), "firsts")
+    linked = spill(held.join(small_side(first), "ref").groupBy("id").agg(F.min("b").alias("least"), F.collect_set("b").alias("bs")), "linked")
+    links = linked.select(F.explode("bs").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    groups = small_side(spill(components(links), "groups"))
+    named = spill(linked.join(groups, F.col("least") == F.col("node"), "left").select("id", F.coalesce("root", "least").alias("root")).where("id <> root"), "named")
+    return named.select(F.col("id").alias(id_col), F.col("root").alias("group")).union(named.select("root", F.col("root").alias("again")).distinct())
 
 
 def story_folds(posts: DataFrame) -> DataFrame:

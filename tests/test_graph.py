@@ -21,3 +21,16 @@ def test_groups_are_those_of_a_plain_union(spark):
         label = new
     sizes = {g: list(label.values()).count(g) for g in label.values()}
     assert found == {i: g for i, g in label.items() if sizes[g] > 1}
+
+
+def test_identifiers_are_found_once(spark):
+    from pyspark.sql import functions as F
+
+    found = spark.sparkContext.accumulator(0)
+
+    def refs(i):
+        found.add(1)
+        return [f"a{i // 2}", f"b{i % 5}"] if i < 40 else [f"c{i}"]
+
+    rows = spark.range(50).select("id", F.udf(refs, "array<string>").asNondeterministic()("id").alias("refs"))
+    assert {(r.id, r.group) for r in stories.reference_groups(rows, "id", "refs").collect()} == {(i, 0) for i in range(40)} and found.value == 50
