@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import refs
-from siftwork.operators.graph import components
+from siftwork.operators.graph import components, contracted
 from siftwork.sources.shared import small_side, spill
 
 #: Characters from which a text and a title stand for a story, of a lead, and of the title that a body may open with. Fixed values.
 LEAST_TEXT, LEAST_TITLE, LEAD, OPENING = 40, 30, 120, 60
+#: Rows of a band that a block holds, about; pairs that are compared at once.
+BLOCK, CHUNK = 1_024, 100_000
 
 
 def plain(text: Column) -> Column:
@@ -58,26 +64,72 @@ def signed_titles(posts: DataFrame) -> DataFrame:
     return first.select("item_id", "title", refs.minhash(refs.char_shingles(F.col("title"))).alias("sig")).where("size(sig) > 0")
 
 
+def alike_signatures(signed: DataFrame, least: float) -> DataFrame:
+    """signed(item_id, sig) -> (item_id, leader, similarity): each two that share a band and agree in `least` or more, the later beside the earlier.
+
+    Only bands that two rows have are kept before signatures are shuffled, as 32 bits a value. A band's rows are cut in blocks of BLOCK by a hash; two blocks are compared as
+    matrices, in a stream over sorted rows, so that a hot band is many small comparisons. A pair is told by the first band that it shares.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(refs.HASHES // refs.ROWS - 1))
+    hashed = F.transform(numbers, lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("sig", i * refs.ROWS + 1, refs.ROWS)).alias("key")))
+    keys = spill(signed.select("item_id", F.inline(hashed)), "bands")
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    met = keys.join(shared, ["band", "key"]).withColumn("side", F.pmod(F.xxhash64("item_id", F.lit(7)), "blocks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other"))
+    placed = met.select("item_id", "band", "key", "p", "q", "side").join(signed.select("item_id", F.col("sig").cast("array<int>").alias("sig")), "item_id")
+    placed = placed.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q").select("item_id", "band", "key", "p", "q", "side", "sig")
+
+    def pairs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, band, p, q, side = (np.array(table.column(c), np.int64) for c in ("item_id", "band", "p", "q", "side"))
+        sigs = np.array(table.column("sig").combine_chunks().flatten(), np.int32).reshape(len(ids), -1)
+        later = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(ids)) - 1  # rows of the group after each
+        total = np.concatenate([[0], np.cumsum(later)])
+        for at in range(0, int(total[-1]), CHUNK):
+            nth = np.arange(at, min(at + CHUNK, int(total[-1])))
+            i = np.searchsorted(total, nth, "right") - 1
+            j = i + 1 + nth - total[i]
+            cross = (p[i] == q[i]) | (side[i] != side[j])
+            i, j = i[cross], j[cross]
+            same = sigs[i] == sigs[j]
+            score = same.mean(1)
+            close = score >= least
+            i, j, score, same = i[close], j[close], score[close], same[close]
+            whole = same.reshape(len(i), same.shape[1] // refs.ROWS, refs.ROWS).all(2)
+            first = whole.any(1) & (whole.argmax(1) == band[i])
+            a, b = ids[i[first]], ids[j[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(score[first])], ["item_id", "leader", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            key = np.stack([np.array(table.column(c), np.int64) for c in ("band", "key", "p", "q")])
+            cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            rest = table.slice(cuts[-1])  # the last group may go on in the next batch
+            if len(cuts) > 1:
+                yield from pairs(table.slice(0, cuts[-1]), cuts)
+        if rest is not None:
+            yield from pairs(rest, np.array([0, rest.num_rows]))
+
+    return placed.mapInArrow(run, "item_id long, leader long, similarity double")
+
+
 def alike_titles(posts: DataFrame, least: float = 0.45) -> DataFrame:
     """(item_id, leader, similarity): each two distinct titles that share a band and whose signatures agree in `least` or more, the later
     title's first post beside the earlier one's; and each further post of a title beside its first, with 1.
 
-    So all posts of equal titles are there, without their pairs. Signatures are written once; what a band's join finds is filtered in it, and
-    a hot band can be split by adaptive execution. Empty titles are alike to none; titles without letters only to equal ones.
+    So all posts of equal titles are there, without their pairs. Signatures are written once. Empty titles are alike to none; titles without letters only to equal ones.
     """
-    signed = spill(signed_titles(posts), "signatures")
-    rows = signed.select("item_id", "sig", F.explode(refs.bands(F.col("sig"))).alias("band"))
-    other = rows.select(F.col("item_id").alias("leader"), F.col("sig").alias("lead_sig"), "band")
-    met = rows.join(other, "band").where((F.col("leader") < F.col("item_id")) & (refs.agreement(F.col("sig"), F.col("lead_sig")) >= least))
-    near = met.select("item_id", "leader", refs.agreement(F.col("sig"), F.col("lead_sig")).alias("similarity")).distinct()
-    firsts = posts.where("title <> ''").groupBy("title").agg(F.min("item_id").alias("leader"))
-    copies = posts.join(firsts, "title").where("leader < item_id").select("item_id", "leader", F.lit(1.0).alias("similarity"))
+    near = alike_signatures(spill(signed_titles(posts).select("item_id", "sig"), "signatures"), least)
+    own = spill(posts.where("title <> ''").select("item_id", "title"), "titles")
+    firsts = own.groupBy("title").agg(F.min("item_id").alias("leader"))
+    copies = own.join(firsts, "title").where("leader < item_id").select("item_id", "leader", F.lit(1.0).alias("similarity"))
     return near.union(copies)
 
 
 def story_clusters(edges: DataFrame) -> DataFrame:
     """(item_id, story): the components of item_id and leader."""
-    return components(edges.select(F.col("item_id").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("item_id"), F.col("root").alias("story"))
+    return components(contracted(edges.select(F.col("item_id").alias("a"), F.col("leader").alias("b")))).select(F.col("node").alias("item_id"), F.col("root").alias("story"))
 
 
 def reference_groups(rows: DataFrame, id_col: str, refs_col: str) -> DataFrame:
