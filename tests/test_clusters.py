@@ -90,3 +90,16 @@ def test_blocks_of_a_keyword_that_all_have(spark):
             want[r["item_id"]] = (best[1], best[0])
     assert got == want and len(got) > 20
     assert clusters.stories(df.where(F.lit(False))).count() == 0
+
+
+def test_signatures_take_32_bits_a_value(spark):
+    df, sigs = asked(spark, list(made(5, 30)))
+    held = clusters.signed(df)
+    assert dict(held.dtypes)["sig"] == "array<int>"
+    near = clusters.near_choices(held, held.select("item_id")).collect()
+    low = {r.item_id: (r.t, r.hour) for r in held.collect()}
+    for r in near:  # parents come earlier, within the window, share a band, and are as like as told
+        a, b = sigs[r.item_id], sigs[r.parent]
+        assert (low[r.parent][0], r.parent) < (low[r.item_id][0], r.item_id) and low[r.parent][1] >= low[r.item_id][1] - 72
+        assert any(a[k : k + 4] == b[k : k + 4] for k in range(0, 64, 4)) and sum(x == y for x, y in zip(a, b, strict=True)) / 64 == r.similarity
+    assert len(near) > 5
