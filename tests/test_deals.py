@@ -115,6 +115,38 @@ def test_groups_are_those_of_all_pairs(spark, seed):
     assert 20 < len({x[1] for x in found}) < len(rows) - 20
 
 
+def dense(seed, n):
+    """Many reports of few names on few days: keys that are other names, sizes at the edges of bands and grids, zero and negative ones."""
+    rng = random.Random(seed)
+    names = ["Alphabet", "Google", "Google Cloud Inc", "Goog le", "알파벳", "알파벳 코리아", "字母", "Gooch", "(x)", None]
+    for i in range(n):
+        size = rng.choice([None, 0.0, -5e6, 1e6 * 1.15 ** rng.randrange(4), 10 ** rng.uniform(6, 6.5), 10 ** rng.uniform(6, 6.5), 10 ** rng.uniform(10, 10.5), 10 ** rng.uniform(10, 10.5)])
+        yield dict(
+            deal_id=i, kind=rng.choice(["acquisition", "partnership", "ipo"]), actor=rng.choice([deals.UNDISCLOSED, "Zeta", "Fund One"]), actor_key=rng.choice([None, None, "zeta"]), counterparty=rng.choice(names),
+            counterparty_key=rng.choice([None, None, None, "google", "alphabet"]), amount_usd=size, announced_on=rng.choice([None, *[dt.date(1970, 1, 1) + dt.timedelta(days=rng.randrange(-200, 200))] * 15]),
+        )
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_dense_groups_are_those_of_all_pairs(spark, seed):
+    rows = list(dense(seed, 500))
+    df = spark.createDataFrame([(*r.values(), "x") for r in rows], SCHEMA)
+    found = sorted(tuple(r) for r in deals.deduped(df).collect())
+    assert found == brute(rows)
+    assert 50 < len({x[1] for x in found}) < 450
+
+
+def test_reports_of_one_deal_are_not_paired(spark, monkeypatch):
+    """3,000 reports of two spellings within 100 days and four bands of sizes are linked by few pairs, not by millions."""
+    links, components = [], deals.components
+    monkeypatch.setattr(deals, "components", lambda edges: links.append(edges.count()) or components(edges))
+    day = dt.date(2024, 1, 1)
+    rows = [(i, "ipo", None, None, ("Warner", "Warner Bros.")[i % 2], None, 1e6 * 1.5 ** (i // 1000) + i, day + dt.timedelta(days=i % 100), "x") for i in range(3000)]
+    found = deals.deduped(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.deal_id // 1000, r.lead_id, r.reports) for r in found} == {(k, 1000 * k, 1000) for k in range(3)}
+    assert 0 < links[0] < 300
+
+
 def test_spellings_sizes_days_and_unsized_reports(spark):
     base = dict(kind="acquisition", actor="Fund", actor_key=None, counterparty="Warner", counterparty_key=None, amount_usd=1e8, announced_on=dt.date(2024, 3, 1))
     cases = [
