@@ -103,3 +103,50 @@ def test_signatures_take_32_bits_a_value(spark):
         assert (low[r.parent][0], r.parent) < (low[r.item_id][0], r.item_id) and low[r.parent][1] >= low[r.item_id][1] - 72
         assert any(a[k : k + 4] == b[k : k + 4] for k in range(0, 64, 4)) and sum(x == y for x, y in zip(a, b, strict=True)) / 64 == r.similarity
     assert len(near) > 5
+
+
+def test_signatures_are_those_of_the_expression(spark):
+    import numpy as np
+    from siftwork.functions import refs
+
+    texts = ["", "a", "ab", "Abc", "Weekly update, again", "weekly UPDATE again!", "주간 기술 동향 보고서 반도체", "𝒳𝒴 b𝒳𝒴c", "İstanbul ß ﬁ Σας", "x_y ²½Ⅷ٣ é", "aaaa" * 50, *[r["title"] or "" for r in made(4, 60)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    rows = df.select("i", refs.bare(F.col("t")).alias("bare"), refs.minhash(refs.char_shingles(F.col("t"))).alias("sig")).orderBy("i").collect()
+    for kept in (3, 70, 4096):  # also if shingles are forgotten, within a text too
+        got = clusters.signatures((r.bare for r in rows), {}, np.empty((kept, refs.HASHES), np.int32))
+        assert [list(map(int, x)) for x in got] == [list(r.sig) for r in rows]
+
+
+def test_small_blocks_share_a_group_and_large_ones_are_parted(spark, monkeypatch):
+    """Tasks get groups of many keywords and bands, not one for each; a band of many reports is compared in parts."""
+    rows = [r | {"keywords": ["all", f"word{r['item_id'] % 70}", f"only{r['item_id']}"]} for r in made(6, 150)]
+    df, sigs = asked(spark, rows)
+    held = clusters.signed(df)
+    want = [sorted(map(tuple, f(held, held.select("item_id")).collect())) for f in (clusters.near_choices, clusters.event_choices)]
+    calls = spark.sparkContext.accumulator(0)
+    grouped = type(held.groupBy("item_id"))
+    run = grouped.applyInArrow
+    monkeypatch.setattr(grouped, "applyInArrow", lambda self, f, *a: run(self, lambda table: calls.add(1) or f(table), *a))
+    assert sorted(map(tuple, clusters.event_choices(held, held.select("item_id")).collect())) == want[1] and calls.value == 1
+    assert sorted(map(tuple, clusters.near_choices(held, held.select("item_id")).collect())) == want[0] and calls.value == 2
+    for name, value in (("PART", 5), ("GROUP", 64)):
+        monkeypatch.setattr(clusters, name, value)
+    found = clusters.stories(df, 3).collect()
+    assert sorted(map(tuple, found)) == loop(rows, sigs, 3)
+
+
+def test_likest_of_stretches(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sigs, told = rng.integers(0, 2, (90, 64)).astype(np.int32), rng.integers(0, 9, 90)
+    ask = np.arange(0, 90, 2)
+    low = np.maximum(ask - rng.integers(0, 40, 45), 0)
+    want = []
+    for i, start in zip(ask.tolist(), low.tolist(), strict=True):
+        fits = [(-int((sigs[j] == sigs[i]).sum()), j) for j in range(start, i) if abs(told[i] - told[j]) <= 3]
+        want += [(i, min(fits)[1], -min(fits)[0])] if fits else []
+    for pairs in (1, 7, 10_000):
+        monkeypatch.setattr(clusters, "PAIRS", pairs)
+        assert [tuple(map(int, x)) for x in zip(*clusters._likest(sigs, ask, low, ask, (told, 3)), strict=True)] == want
+    assert len(want) > 30
